@@ -27,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import text_slices
+from tessera.llm.common import TwoGenerations, pieces, text_slices
 
 #: Bounds of what one Python worker keeps: pre-tokens, and states of the transducer.
 MAX_WORDS = 150_000  # twice: a new and an old generation
 MAX_STATES = 100_000
 START = -1
+#: The split pattern for which texts may be cut at spaces first (fixed value: that of the public vocabulary).
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -170,24 +172,6 @@ class Transducer:
         return b"".join(out)
 
 
-class Words(dict):
-    """Encodings of pre-tokens; bounded, as texts bring ever new ones."""
-
-    def __init__(self, transducer: Transducer, bound: int = MAX_WORDS):
-        super().__init__()
-        self.transducer, self.bound, self.old = transducer, bound, {}
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self.bound:  # what comes again moves over from the old generation
-            self.old = dict(self)
-            self.clear()
-        if (ids := self.old.get(word)) is None:
-            ids = self.transducer.encode(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 64:  # long ones hardly come again
-            self[word] = ids
-        return ids
-
-
 #: Bytes that may follow a lead byte of UTF-8, as (least, most) of the first one after it.
 _SECOND = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}
 
@@ -236,15 +220,24 @@ class Codec:
         import regex
 
         self.split = regex.compile(pattern).finditer
+        self.by_spaces = pattern == SPLIT
         self.transducer = Transducer(read_ranks(path))
         self.token = self.transducer.merges.token
-        self.words = Words(self.transducer)
+        self.words = TwoGenerations(lambda w: self.transducer.encode(w.encode("utf-8", "surrogatepass")), MAX_WORDS)
+        self.spaced = TwoGenerations(lambda p: self.encode_piece(" " + p), MAX_WORDS)
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+    def encode_piece(self, text: str) -> bytes:
         get = self.words.__getitem__
         return b"".join([get(m.group()) for m in self.split(text)])
 
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        cut = pieces(text) if self.by_spaces else None
+        if cut is None:
+            return self.encode_piece(text)
+        first = cut.pop(0)
+        return self.encode_piece(first) + b"".join(map(self.spaced.__getitem__, cut))
+
     def decode(self, ids: bytes, chunk: int = 65_536) -> Iterator[bytes]:
         """The bytes of the ids, in pieces."""
         numbers, get = np.frombuffer(ids, "<u4"), self.token.__getitem__

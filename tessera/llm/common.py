@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -65,6 +66,40 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, step: int = STEP_B
             at = to
 
 
+_RUN = re.compile(r"\s \s")
+
+
+def pieces(text: str) -> list[str] | None:
+    """text cut at its spaces, where a byte-level pre-tokeniser cuts too; all pieces but the first lack their space.
+
+    A space after a character that is no white space begins a pre-token, and so does
+    the last space of a run before a word.  Only a space between two white-space
+    characters may lie inside a pre-token: then None.
+    """
+    return None if _RUN.search(text) else text.split(" ")
+
+
+class TwoGenerations(dict):
+    """A bounded memo: what comes again moves over from the old generation, the rest is forgotten."""
+
+    def __init__(self, make, bound: int):
+        super().__init__()
+        self.make, self.bound, self.old = make, bound, {}
+
+    def __missing__(self, key):
+        if (got := self.old.get(key)) is None:
+            got = self.make(key)
+        self.put(key, got)
+        return got
+
+    def put(self, key, got) -> None:
+        if len(self) >= self.bound:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= 64:  # long ones hardly come again
+            self[key] = got
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of unsigned 64-bit integers."""
     with np.errstate(over="ignore"):
