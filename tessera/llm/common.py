@@ -176,3 +176,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = now
     # now every edge goes from a node to its root
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The groups of a sorted task, one at a time: consecutive rows with equal keys (integers, not null)."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        if held and any(held[-1].column(k)[-1].as_py() != c[0] for k, c in zip(keys, cols, strict=True)):
+            yield pa.Table.from_batches(held)
+            held = []
+        at = 0
+        for to in cut.tolist():
+            yield pa.Table.from_batches([*held, b.slice(at, to - at)])
+            held, at = [], to
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)

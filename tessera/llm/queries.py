@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, mixing, quality, token_store, url_filter
+from tessera.llm import bpe, embedding_dedup, mixing, quality, token_store, url_filter
 from tessera.llm.common import table
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_store": op8_token_store,
     "op10_url_filter": op10_url_filter,
