@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embedding_dedup, mixing, quality, token_store, url_filter
+from tessera.llm import bpe, embedding_dedup, minhash, mixing, quality, token_store, url_filter
 from tessera.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, num=85, den=100)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules=url_filter.LISTED).drop("url")
 
@@ -40,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_embedding_dedup": op4_embedding_dedup,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_store": op8_token_store,
+    "op9_minhash": op9_minhash,
     "op10_url_filter": op10_url_filter,
 }
 
