@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import TwoGenerations, pieces, text_slices
 
-#: Bounds of what one Python worker keeps: pre-tokens, and states of the transducer.
+#: Bounds of what one Python worker keeps: pre-tokens, states of the transducer, and pairs known to fit or not.
 MAX_WORDS = 150_000  # twice: a new and an old generation
-MAX_STATES = 100_000
+MAX_STATES = 40_000
+MAX_PAIRS = 400_000
 START = -1
 #: The split pattern for which texts may be cut at spaces first (fixed value: that of the public vocabulary).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -116,37 +117,57 @@ class State:
 
 
 class Transducer:
-    """Bytes in, token ids (little-endian unsigned 32-bit) out."""
+    """Bytes in, token ids (little-endian unsigned 32-bit) out.
+
+    States are determinised on first use.  When their table is full, an input that
+    leaves it is finished nondeterministically: the threads are followed as they are,
+    at the same result and without new states.
+    """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.merges, self.max_states = Merges(ranks), max_states
-        self.children: list[dict[int, int]] = [{}]
+        self.child: dict[int, int] = {}  # node * 256 + byte
         self.ends: list[int] = [-1]
+        inner = set()
         for t, r in ranks.items():
             node = 0
             for b in t:
-                if b not in (kids := self.children[node]):
-                    kids[b] = len(self.children)
-                    self.children.append({})
+                inner.add(node)
+                at = node << 8 | b
+                if (to := self.child.get(at)) is None:
+                    to = self.child[at] = len(self.ends)
                     self.ends.append(-1)
-                node = kids[b]
+                node = to
             self.ends[node] = r
+        self.inner = inner
         self.start = State((((START,), 0),))
         self.states = {self.start.threads: self.start}
+        self.fit_memo: dict[int, bool] = {}
 
-    def move(self, state: State, b: int) -> tuple[State, bytes]:
-        fits, out, new = self.merges.fits, [], None
+    def fits(self, left: int, right: int) -> bool:
+        at = left << 32 | right
+        if (got := self.fit_memo.get(at)) is None:
+            if len(self.fit_memo) >= MAX_PAIRS:
+                self.fit_memo.clear()
+            got = self.fit_memo[at] = self.merges.fits(left, right)
+        return got
+
+    def move(self, state: State, b: int) -> tuple[State, bytes] | None:
+        """The next state and what the move emits; None where the table is full."""
+        if len(self.states) >= self.max_states:
+            return None
+        out, new = [], None
         for chain, node in state.threads:
-            node = self.children[node].get(b, -1)
-            if node < 0:
+            node = self.child.get(node << 8 | b)
+            if node is None:
                 continue
-            out.append((chain, node))
             t = self.ends[node]
-            if t >= 0 and new is None and (chain[-1] == START or fits(chain[-1], t)):
+            if t >= 0 and new is None and (chain[-1] == START or self.fits(chain[-1], t)):
                 new = (*chain, t)
+            if node in self.inner:  # the rest can't go on
+                out.append((chain, node))
         if new is None:
             raise ValueError("the vocabulary lacks single bytes")
-        out = [x for x in out if self.children[x[1]]]  # the rest can't go on
         out.append((new, 0))
         first, agreed = out[0][0], min(len(c) for c, _ in out)
         n = 1
@@ -154,17 +175,42 @@ class Transducer:
             n += 1
         threads = tuple((c[n - 1 :], node) for c, node in out)
         if (to := self.states.get(threads)) is None:
-            if len(self.states) >= self.max_states:  # begin anew; states on the way stay usable
-                self.states = {self.start.threads: self.start}
-                self.start.moves.clear()
             to = self.states[threads] = State(threads)
         state.moves[b] = made = to, np.array(first[1:n], "<u4").tobytes()
         return made
 
+    def follow(self, text: bytes) -> bytes:
+        """All of text nondeterministically; token and where[i]: the last token of the first i bytes, and its beginning."""
+        child, ends, memo = self.child.get, self.ends, self.fit_memo.get
+        token, where, threads = [START], [0], []
+        for at, b in enumerate(text):
+            threads.append((at, 0))
+            alive, found = [], -1
+            for begin, node in threads:
+                if (node := child(node << 8 | b)) is None:
+                    continue
+                alive.append((begin, node))
+                if found < 0 and (t := ends[node]) >= 0:
+                    u = token[begin]
+                    if u < 0 or ((fit := memo(u << 32 | t)) or fit is None and self.fits(u, t)):
+                        found = t
+                        where.append(begin)
+            if found < 0:
+                raise ValueError("the vocabulary lacks single bytes")
+            token.append(found)
+            threads = alive
+        out, at = [], len(text)
+        while at:
+            out.append(token[at])
+            at = where[at]
+        return np.array(out[::-1], "<u4").tobytes()
+
     def encode(self, text: bytes) -> bytes:
         state, out = self.start, []
         for b in text:
             got = state.moves.get(b) or self.move(state, b)
+            if got is None:
+                return self.follow(text)
             state = got[0]
             if got[1]:
                 out.append(got[1])
