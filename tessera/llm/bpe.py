@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import TwoGenerations, pieces, text_slices
 
 #: Bounds of what one Python worker keeps: pre-tokens, states of the transducer, and pairs known to fit or not.
-MAX_WORDS = 150_000  # twice: a new and an old generation
+MAX_WORDS = 300_000  # twice: a new and an old generation
 MAX_STATES = 40_000
 MAX_PAIRS = 400_000
 START = -1
