@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embedding_dedup, minhash, mixing, quality, token_store, url_filter
+from tessera.llm import bpe, embedding_dedup, fingerprint, minhash, mixing, quality, token_store, url_filter
 from tessera.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_fingerprint": op5_fingerprint,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_store": op8_token_store,
     "op9_minhash": op9_minhash,
