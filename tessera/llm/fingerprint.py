@@ -17,8 +17,6 @@ whole sequence is the one shingle.
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +25,10 @@ from tessera.llm.common import save
 BINS = 256
 BITS = 4
 _SHIFT = 64 - (BINS.bit_length() - 1)
-_PROBES = 3
-
-
-def _probe_order() -> str:
-    """For each bin, all bins in an order of its own, as a literal array."""
-    rng = random.Random(5)
-    return "array(" + ",".join("array(" + ",".join(f"{x}S" for x in rng.sample(range(BINS), BINS)) + ")" for _ in range(BINS)) + ")"
-
-
-PROBES = _probe_order()
+#: Places that an empty bin tries before all filled bins are ranked for it.
+_TRIES = 8
+#: What follows the bits of the bin in a hash; all ones stands for an empty bin.
+_REST = (1 << _SHIFT) - 1
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str, width: int = 5) -> DataFrame:
@@ -51,18 +43,18 @@ def with_fingerprint(df: DataFrame, text: str, out: str, width: int = 5) -> Data
     step = df.select(*passed, e(f"filter(split(lower(`{text}`), '{word}'), w -> w <> '')").alias("_w"))
     step = step.select(*passed, e("transform(_w, w -> xxhash64(w))").alias("_h"), e("size(_w)").alias("_n"))
     shingle = ", ".join(f"_h[i + {k}]" if k else "_h[i]" for k in range(width))
-    step = step.select(*passed, e(f"case when _n >= {width} then transform(sequence(0, _n - {width}), i -> xxhash64({shingle})) when _n > 0 then array(xxhash64(_h)) else cast(array() as array<bigint>) end").alias("_s"))
-    step = step.select(*passed, e("sort_array(_s)").alias("_s"))
+    step = step.select(*passed, e(f"case when _n >= {width} then transform(sequence(0, _n - {width}), i -> xxhash64({shingle})) when _n > 0 then array(xxhash64(_h)) else cast(array() as array<bigint>) end").alias("_s"), "_n")
+    # one mark for each bin, above all its hashes: then every bin has a first, in the order of signed integers
+    marks = f"transform(sequence(0L, {BINS - 1}L), b -> shiftleft(b, {_SHIFT}) | {_REST}L)"
+    step = step.select(*passed, "_n", e(f"sort_array(concat(_s, {marks}))").alias("_s"))
     bin_of = f"shiftrightunsigned({{}}, {_SHIFT})"
-    step = step.select(*passed, e(f"filter(_s, (x, i) -> i = 0 or {bin_of.format('_s[i - 1]')} <> {bin_of.format('x')})").alias("_m"))
-    step = step.select(*passed, e(f"map_from_arrays(transform(_m, x -> {bin_of.format('x')}), _m)").alias("_b"), e("size(_m)").alias("_f"))
-    step = step.select(*passed, "_f", e(f"transform(sequence(0L, {BINS - 1}L), b -> try_element_at(_b, b))").alias("_d"))
-    near = ", ".join(f"_d[_p[b][{k}]]" for k in range(_PROBES))
-    step = step.select(*passed, "_f", "_d", e(PROBES).alias("_p"))
-    filled = f"transform(sequence(0, {BINS - 1}), b -> coalesce(_d[b], {near}, _d[filter(_p[b], j -> _d[j] is not null)[0]]))"
-    step = step.select(*passed, "_f", e(f"if(_f > 0, {filled}, cast(null as array<bigint>))").alias("_d"))
+    step = step.select(*passed, "_n", e(f"filter(_s, (x, i) -> i = 0 or {bin_of.format('_s[i - 1]')} <> {bin_of.format('x')})").alias("_m"))
+    step = step.select(*passed, "_n", e(f"transform(_m, x -> if((x & {_REST}L) = {_REST}L, null, x))").alias("_d"), e(f"filter(_m, x -> (x & {_REST}L) <> {_REST}L)").alias("_f"))
+    tries = ", ".join(f"_d[pmod(xxhash64(b, {k}), {BINS}L)]" for k in range(_TRIES))
+    ranked = f"array_min(transform(_f, x -> struct(xxhash64(b, {bin_of.format('x')}) as h, x as x))).x"
+    step = step.select(*passed, e(f"if(_n > 0, transform(sequence(0, {BINS - 1}), b -> coalesce(_d[b], {tries}, {ranked})), cast(null as array<bigint>))").alias("_d"), "_n")
     packed = f"transform(sequence(0, {BINS // 16 - 1}), g -> aggregate(slice(_d, g * 16 + 1, 16), 0L, (a, v) -> shiftleft(a, {BITS}) | (v & {2**BITS - 1}L)))"
-    return step.select(*passed, e(f"if(_f > 0, {packed}, cast(array() as array<bigint>))").alias(out))
+    return step.select(*passed, e(f"if(_n > 0, {packed}, cast(array() as array<bigint>))").alias(out))
 
 
 def as_text(packed: Column) -> Column:
