@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embedding_dedup, fingerprint, minhash, mixing, quality, token_store, url_filter
+from tessera.llm import bpe, embedding_dedup, fingerprint, minhash, mixing, quality, suffix_dedup, token_store, url_filter
 from tessera.llm.common import table
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -45,6 +49,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_mixing": op2_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_fingerprint": op5_fingerprint,
     "op7_bpe_codec": op7_bpe_codec,
