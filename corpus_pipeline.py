@@ -1,17 +1,65 @@
-"""The corpus pipeline: stages over documents, each an operator of tessera.llm."""
+"""The corpus pipeline: five stages over ``documents``, each an operator of tessera.llm.
+
+Each stage reads what the one before kept.  All but the last return the columns of
+documents.  Rejected documents and repeats are gone, secrets are replaced by a mark,
+the mix decides how often a document comes, and the last stage gives each document's
+tokens as digests with that number of copies already laid out as rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, minhash, mixing, quality, secret_scan
+from tessera.llm.common import save, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts; it learns from the labelled ones among docs."""
+    got = quality.scored(docs, table(spark, sf_dir, "labels"), out="_score")
+    return got.where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id (five-word shingles, similarity 0.8)."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    firsts = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    return firsts.select(*docs.columns)
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, secrets replaced by a mark."""
+    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it, as rows; documents that the mix does not take are left out."""
+    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of the mix."""
+    return bpe.encoded_digests(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", dedup_stage),
+    ("secret scans", secrets_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("byte-level BPE encoding and decoding", tokens_stage),
+]
 
 #: No SQL: several stages are learned or iterative; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = save(docs, f"stage{k}")
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, embedding_dedup, fingerprint, minhash, mixing, quality, suffix_dedup, token_store, url_filter
+from tessera.llm import bpe, embedding_dedup, fingerprint, minhash, mixing, quality, secret_scan, suffix_dedup, token_store, url_filter
 from tessera.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_fingerprint": op5_fingerprint,
+    "op6_secret_scan": op6_secret_scan,
     "op7_bpe_codec": op7_bpe_codec,
     "op8_token_store": op8_token_store,
     "op9_minhash": op9_minhash,
