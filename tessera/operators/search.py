@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 K1, B = 1.2, 0.75
 ANALYZERS = {"english": "en_stem", "en": "en_stem", "english_stem": "en_stem", "simple": "default", "standard": "default", "default": "default", "whitespace": "whitespace", "ws": "whitespace", "raw": "raw", "keyword": "raw", "exact": "raw"}
@@ -58,7 +59,7 @@ def analyze(text: str, analyzer: str) -> list[str]:
     return [stem(t) for t in terms] if kind == "en_stem" else terms
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stems(terms: pd.Series) -> pd.Series:
     memo: dict[str, str] = {}
     return pd.Series([[memo.setdefault(t, stem(t)) for t in x] if x is not None else None for x in terms], dtype=object)
@@ -172,7 +173,13 @@ def matches(posts: DataFrame, query: tuple) -> DataFrame:
     if kind == "phrase":
         words = query[1]
         own = posts.where(F.col("term").isin(words))
-        begin = F.explode(F.filter(F.flatten(F.array(*[F.when(F.col("term") == w, F.transform("positions", lambda p, i=i: F.struct((p - i).alias("at"), F.lit(i).alias("i")))).otherwise(F.array().cast("array<struct<at:int,i:int>>")) for i, w in enumerate(words)])), lambda x: x["at"] >= 0))
+
+        def places(i: int, word: str) -> Column:
+            """Where the phrase would begin if this is its i-th word."""
+            found = F.transform("positions", lambda p: F.struct((p - i).alias("at"), F.lit(i).alias("i")))
+            return F.when(F.col("term") == word, found).otherwise(F.array().cast("array<struct<at:int,i:int>>"))
+
+        begin = F.explode(F.filter(F.flatten(F.array(*[places(i, w) for i, w in enumerate(words)])), lambda x: x["at"] >= 0))
         return own.select("pk", begin.alias("x")).groupBy("pk", "x.at").agg(F.count_distinct("x.i").alias("n")).where(F.col("n") == len(words)).select("pk").distinct()
     if kind == "not":
         return everything.join(matches(posts, query[1]), "pk", "left_anti")

@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import relational, shapes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | shapes.QUERIES
+ORACLE_SQL: dict[str, str] = relational.ORACLE_SQL | shapes.ORACLE_SQL
