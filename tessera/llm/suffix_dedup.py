@@ -17,8 +17,12 @@ meet in groups that are exact all the same:
    in the byte before them is a maximal repeat, reported with all its occurrences.
    Groups are put together to texts of ``BATCH_BYTES``.
 4. A group of more than ``MOST`` distinct runs (a passage with ever new surroundings)
-   would make one long text; its runs send the hashes of their strings instead and
-   equal ones are counted, which partial aggregation spreads over all tasks.
+   would make one long text.  The places that its strings can begin at, counted from
+   the anchor, are halved again and again.  A half is done where all its bytes
+   together occur twice (all its strings are repeated), and dropped where the bytes
+   that all its strings share occur once (none is); only what is neither is halved
+   further.  Each round counts hashes by partial aggregation, so a group may have any
+   number of runs, and a run sends a few rows a round.
 
 The spans found join their documents by id; each document's spans are united and cut.
 
@@ -43,7 +47,7 @@ from tessera.llm.common import discard, mix64, runs, save, text_slices
 
 LENGTH = 400
 BATCH_BYTES = 2_000_000
-MOST = 400
+MOST = 1500
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -262,21 +266,67 @@ def _in_groups(length: int):
     return run
 
 
-def _strings(length: int):
-    """Rows -> (key, h1, h2, into, at, s1, s2): hashes of all strings of a run."""
+def _halves(length: int, size: int, whole: bool):
+    """Rows of a round -> with a node's bytes hashed.
+
+    A row is a run's part of a node: the places ``node * size`` and ``size - 1`` more,
+    counted from ``length - length // 2`` bytes before the anchor.  u1, u2 hash all
+    bytes of the run's strings that begin there (and which those are), c1, c2 the bytes
+    that every string that begins in the node has.  With ``whole`` unset, rows are the
+    halves of the given ones.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, h1, h2, into, span in zip(*(b.column(c).to_pylist() for c in ("key", "h1", "h2", "into", "span")), strict=True):
+            out: list[tuple] = []
+            for key, h1, h2, into, span, node, done in zip(*(b.column(c).to_pylist() for c in ("key", "h1", "h2", "into", "span", "node", "done")), strict=True):
                 data = np.frombuffer(span, np.uint8)
-                at = np.arange(len(data) - length + 1)
-                s1, s2 = (span_hashes(prefix_hashes(data, base), base, at, at + length).view("i8") for base in _BASES)
-                same = lambda x: pa.array(np.full(len(at), x))
-                yield pa.RecordBatch.from_arrays([same(key), same(h1), same(h2), pa.array((at - into).astype("i4")), pa.array(s1), pa.array(s2)], names=["key", "h1", "h2", "at", "s1", "s2"])
+                prefix = [prefix_hashes(data, base) for base in _BASES]
+                origin = into - (length - length // 2)  # place 0, in the span
+                for n in (node,) if whole else (2 * node, 2 * node + 1):
+                    lo, hi = origin + n * size, origin + (n + 1) * size - 1
+                    first, last = max(lo, 0), min(hi, len(data) - length)
+                    if first > last:
+                        continue
+                    begin, end = np.array([first, hi]), np.array([last + length, lo + length])
+                    u1, c1 = span_hashes(prefix[0], _BASES[0], begin[:1], end[:1]), span_hashes(prefix[0], _BASES[0], *_inside(begin[1:], end[1:]))
+                    u2, c2 = span_hashes(prefix[1], _BASES[1], begin[:1], end[:1]), span_hashes(prefix[1], _BASES[1], *_inside(begin[1:], end[1:]))
+                    with np.errstate(over="ignore"):  # equal only with equal places
+                        u1 = mix64(u1 + np.uint64((first - origin) << 20 | (last - origin)))
+                        c1 = mix64(c1 + np.uint64(n))
+                    out.append((key, h1, h2, into, span, n, done, first - into, last - into + length, *(int(x.view("i8")[0]) for x in (u1, u2, c1, c2))))
+            if out:
+                kinds = (pa.int64(),) * 3 + (pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()) + (pa.int64(),) * 4
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "h1", "h2", "into", "span", "node", "done", "lo", "hi", "u1", "u2", "c1", "c2"])
 
     return run
 
 
+def _inside(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return begin, np.maximum(begin, end)
+
+
+def _by_halving(spans: DataFrame, length: int) -> DataFrame:
+    """spans of large groups -> (key, h1, h2, lo, hi), from anchors, as from the suffix arrays."""
+    schema = "key long, h1 long, h2 long, into int, span binary, node int, done boolean, lo int, hi int, u1 long, u2 long, c1 long, c2 long"
+    size = 1 << (length - length // 2).bit_length()
+    # a run that occurs twice is found already; it serves as a partner
+    rows = spans.select("key", "h1", "h2", "into", "span", F.lit(0).alias("node"), (F.col("c") > 1).alias("done"))
+    found, whole = None, True
+    while size:
+        now = save(rows.mapInArrow(_halves(length, size, whole), schema), "halves")
+        shared = now.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.min("done").alias("all_done")).where("n > 1 and not all_done").select("c1", "c2")
+        live = now.join(shared, ["c1", "c2"], "left_semi")
+        same = live.groupBy("u1", "u2").agg(F.count(F.lit(1)).alias("n"), F.min("done").alias("all_done"), F.min(F.struct("key", "h1", "h2", "into", "span", "node")).alias("one"))
+        same = save(same, "same")
+        hit = live.where("not done").join(same.where("n > 1").select("u1", "u2"), ["u1", "u2"], "left_semi").select("key", "h1", "h2", "lo", "hi")
+        hit = save(hit, "hit")
+        found = hit if found is None else found.unionByName(hit)
+        rows = same.select("one.*", (F.col("all_done") | (F.col("n") > 1)).alias("done"))
+        size, whole = size // 2, False
+    return found
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (k, th, text) -> (k, th, lo, hi): byte spans that strings found elsewhere cover; they may overlap."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -292,9 +342,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     small = spans.where("not big").repartition(parts, "key").sortWithinPartitions("key", "h1", "h2").mapInArrow(_in_groups(length), "key long, h1 long, h2 long, lo int, hi int")
     found = twice.unionByName(small)
     if groups.where(F.col("kinds") > MOST).limit(1).count():
-        strings = spans.where("big").mapInArrow(_strings(length), "key long, h1 long, h2 long, at int, s1 long, s2 long")
-        again = strings.groupBy("s1", "s2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("s1", "s2")
-        hit = strings.join(again, ["s1", "s2"], "left_semi").groupBy("key", "h1", "h2").agg(F.min("at").alias("lo"), (F.max("at") + length).alias("hi"))
+        hit = _by_halving(spans.where("big"), length)
         found = found.unionByName(hit)
     found = save(found.groupBy("key", "h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "found")
     out = anchored.join(found, ["key", "h1", "h2"]).select("k", "th", (F.col("anchor") + F.col("lo")).alias("lo"), (F.col("anchor") + F.col("hi")).alias("hi"))
