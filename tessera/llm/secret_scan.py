@@ -111,33 +111,33 @@ def fit(spark: SparkSession, findings: list[tuple[str, str, str, int]], trees: i
 
 
 def _cut(df: DataFrame, text: str) -> DataFrame:
-    """df with _found, the candidates of the text, and _between, what stands around them: one more."""
-    found = df.withColumn("_found", F.coalesce(F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")))
-    return found.withColumn("_between", F.when(F.size("_found") > 0, F.split(F.col(text), CANDIDATE, -1)))
+    """df with __s_found, the candidates of the text, and __s_between, what stands around them: one more."""
+    found = df.withColumn("__s_found", F.coalesce(F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>")))
+    return found.withColumn("__s_between", F.when(F.size("__s_found") > 0, F.split(F.col(text), CANDIDATE, -1)))
 
 
 def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, model=None) -> DataFrame:
     """(key, start, length, value, score, is_secret, th): one row for each candidate; start counts characters from 0."""
     model = model or _model(docs.sparkSession, 20, 8)
-    cut = _cut(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t").where(F.size("_found") > 0)
+    cut = _cut(docs.select(F.col(key).alias("k"), F.col(text).alias("t")), "t").where(F.size("__s_found") > 0)
     # where each candidate begins: all that is before it
-    ahead = F.expr("transform(_found, (x, i) -> length(_between[i]) + if(i > 0, length(_found[i - 1]), 0))")
-    cut = cut.select("k", F.xxhash64("t").alias("th"), "_found", "_between", ahead.alias("_ahead"))
-    starts = F.expr("aggregate(_ahead, cast(array() as array<int>), (s, x) -> array_append(s, coalesce(get(s, size(s) - 1), 0) + x))")
-    one = cut.select("k", "th", "_found", "_between", starts.alias("_starts")).select("k", "th", "_between", "_starts", F.posexplode("_found").alias("i", "value"))
-    one = one.select("k", "th", "value", F.get("_starts", F.col("i")).alias("start"), F.expr("right(_between[i], 60)").alias("lhs"), F.expr("left(_between[i + 1], 30)").alias("rhs"))
+    ahead = F.expr("transform(__s_found, (x, i) -> length(__s_between[i]) + if(i > 0, length(__s_found[i - 1]), 0))")
+    cut = cut.select("k", F.xxhash64("t").alias("th"), "__s_found", "__s_between", ahead.alias("__s_ahead"))
+    starts = F.expr("aggregate(__s_ahead, cast(array() as array<int>), (s, x) -> array_append(s, coalesce(get(s, size(s) - 1), 0) + x))")
+    one = cut.select("k", "th", "__s_found", "__s_between", starts.alias("__s_starts")).select("k", "th", "__s_between", "__s_starts", F.posexplode("__s_found").alias("i", "value"))
+    one = one.select("k", "th", "value", F.get("__s_starts", F.col("i")).alias("start"), F.expr("right(__s_between[i], 60)").alias("lhs"), F.expr("left(__s_between[i + 1], 30)").alias("rhs"))
     scored = model.transform(with_features(one)).withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
     return scored.select(F.col("k").alias(key), "start", F.length("value").alias("length"), "value", "score", (F.col("score") >= threshold).alias("is_secret"), "th")
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD, model=None) -> DataFrame:
     """docs, the secrets in their texts replaced by ``mark``; all rows stay.  A key may be null or repeated."""
-    secrets = findings(docs, key, text, threshold, model).where("is_secret").groupBy("th", F.col(key).alias("_k")).agg(F.collect_set("start").alias("_starts"), F.collect_set("value").alias("_values"))
+    secrets = findings(docs, key, text, threshold, model).where("is_secret").groupBy("th", F.col(key).alias("_k")).agg(F.collect_set("start").alias("__s_starts"), F.collect_set("value").alias("__s_values"))
     names = [f"`{c}`" for c in docs.columns]
-    joined = docs.withColumn("_th", F.xxhash64(text)).alias("d").join(secrets.alias("s"), (F.col("_th") == F.col("th")) & F.col(f"d.{key}").eqNullSafe(F.col("_k")), "left")
-    cut = joined.select(*[F.col(f"d.{c}").alias(c.strip("`")) for c in names], "_values", F.when(F.col("_values").isNotNull(), F.regexp_extract_all(F.col(f"d.{text}"), F.lit(CANDIDATE), F.lit(0))).alias("_found"), F.when(F.col("_values").isNotNull(), F.split(F.col(f"d.{text}"), CANDIDATE, -1)).alias("_between"))
-    clean = F.expr(f"array_join(transform(_between, (b, i) -> concat(b, if(i >= size(_found), '', if(array_contains(_values, _found[i]), '{mark}', _found[i])))), '')")
-    return cut.withColumn(text, F.when(F.col("_values").isNotNull(), clean).otherwise(F.col(f"`{text}`"))).select(*names)
+    joined = docs.withColumn("__s_th", F.xxhash64(text)).alias("d").join(secrets.alias("s"), (F.col("__s_th") == F.col("th")) & F.col(f"d.{key}").eqNullSafe(F.col("_k")), "left")
+    cut = joined.select(*[F.col(f"d.{c}").alias(c.strip("`")) for c in names], "__s_values", F.when(F.col("__s_values").isNotNull(), F.regexp_extract_all(F.col(f"d.{text}"), F.lit(CANDIDATE), F.lit(0))).alias("__s_found"), F.when(F.col("__s_values").isNotNull(), F.split(F.col(f"d.{text}"), CANDIDATE, -1)).alias("__s_between"))
+    clean = F.expr(f"array_join(transform(__s_between, (b, i) -> concat(b, if(i >= size(__s_found), '', if(array_contains(__s_values, __s_found[i]), '{mark}', __s_found[i])))), '')")
+    return cut.withColumn(text, F.when(F.col("__s_values").isNotNull(), clean).otherwise(F.col(f"`{text}`"))).select(*names)
 
 
 def scan_digests(docs: DataFrame) -> DataFrame:

@@ -100,13 +100,13 @@ def judge_urls(df: DataFrame, url: str = "url", rules: tuple[Rule, ...] = (), me
     ints = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
     strings = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     index = F.array(*[ints(b) for b in buckets])
-    fetched = F.flatten(F.transform(tokens_of(F.col("_target")), lambda t: F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(len(buckets))).cast("int"))))
-    fits = F.filter(F.array_distinct(F.concat(ints(always), fetched)), lambda k: F.rlike(F.col("_target"), F.get(strings([r.pattern for r in every]), k)))
-    best = F.col("_best")
+    fetched = F.flatten(F.transform(tokens_of(F.col("__u_target")), lambda t: F.get(index, F.pmod(F.crc32(t.cast("binary")), F.lit(len(buckets))).cast("int"))))
+    fits = F.filter(F.array_distinct(F.concat(ints(always), fetched)), lambda k: F.rlike(F.col("__u_target"), F.get(strings([r.pattern for r in every]), k)))
+    best = F.col("__u_best")
     out = {"host", "path", "rule", "method_rule", "verdict"}
     passed = [F.col(f"`{c}`") for c in df.columns if c.lower() not in out]
-    judged = df.select(*passed, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("_target", F.concat("host", "path"))
-    judged = judged.withColumn("_best", F.array_min(fits))
+    judged = df.select(*passed, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).withColumn("__u_target", F.concat("host", "path"))
+    judged = judged.withColumn("__u_best", F.array_min(fits))
     names, verdicts = strings([r.name for r in every]), strings([r.verdict for r in every])
     return judged.select(
         *passed,
