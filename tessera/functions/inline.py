@@ -50,7 +50,7 @@ def _to_char(args: list[str]) -> str | None:
     if mask is None or re.search("[YMHSymd]", mask):
         return None if mask is None else f"date_format({args[0]}, {_quote(java_pattern(mask))})"
     decimals = len(re.findall("[90]", re.split("[.D]", mask, maxsplit=1)[1])) if re.search("[.D]", mask) else 0
-    body = f"format_number(abs({args[0]}), {decimals})"
+    body = f"format_number(abs(cast({args[0]} as double)), {decimals})"
     if not re.search("[,G]", mask):
         body = f"replace({body}, ',', '')"
     return f"concat(if({args[0]} < 0, '-', ''), {body})"
