@@ -151,16 +151,24 @@ def _contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+#: So many edges, 16 bytes each, are united in one task; more take the rounds.
+ONE_TASK = 500_000
+
+
+def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b), both bigint.
 
-    Alternating large-star and small-star rounds; each is a partial aggregation and a
+    Each task first turns its edges into stars.  If ``one_task`` or fewer are left, one
+    task unites them; else alternating large-star and small-star rounds do; each is a partial aggregation and a
     join on a node, so a hub costs no task more than its share.  Every round is written
     to the shared folder.  Loops and repeated edges are allowed; no edges, no rows.
     """
     e = save(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(_contract, "a bigint, b bigint"), "edges")
-    state = None
-    while True:
+    state, done = None, e.count() <= one_task
+    if done:
+        e, rest = save(e.repartition(1).mapInArrow(_contract, "a bigint, b bigint"), "edges"), e
+        discard(rest)
+    while not done:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -171,9 +179,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         now = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.max("b")).first()
         discard(e)
         e = new
-        if now == state:
-            break
-        state = now
+        done, state = now == state, now
     # now every edge goes from a node to its root
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -173,9 +173,9 @@ def test_embeddings(spark):
 
 
 def test_components(spark):
-    for _ in range(3):
+    for one_task in (0, 0, 1000):
         pairs = [(RANDOM.randint(0, 60), RANDOM.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
-        got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()}
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(4), one_task).collect()}
         nodes, root = forest(*np.array([p for p in pairs if p[0] != p[1]]).T)
         assert got == dict(zip(nodes.tolist(), root.tolist(), strict=True))
 
