@@ -153,16 +153,33 @@ class Table:
         self._check(rows, None if upsert else self.read())
         return self._append(rows, changelog.UPSERT)
 
-    def update(self, assignments: dict[str, object], where: str | None = None) -> int:
+    def insert_returning(self, rows: DataFrame) -> DataFrame:
+        """The rows as they were stored, by their keys."""
+        self.insert(rows)
+        return self.read().join(self._conform(rows).select(*self.keys), self.keys, "left_semi")
+
+    def update_returning(self, assignments: dict[str, object], where: str | None = None) -> DataFrame:
+        """What the condition finds after the update."""
+        self.update(assignments, where)
+        return self.read().where(where) if where else self.read()
+
+    def delete_returning(self, where: str | None = None) -> DataFrame:
+        """What the condition found before the delete."""
+        rows = self.read().where(where) if where else self.read()
+        kept = self.spark.createDataFrame(rows.collect(), rows.schema)  # the answer to the caller
+        self.delete(where)
+        return kept
+
+    def update(self, assignments: dict[str, object], where=None) -> int:
         if set(assignments) & set(self.keys):
             raise ValueError("a key column can't be updated")
-        rows = self.read().where(where) if where else self.read()
+        rows = self.read() if where is None else self.read().where(where)
         new = rows.withColumns({c: (v if hasattr(v, "_jc") else F.expr(v) if isinstance(v, str) else F.lit(v)) for c, v in assignments.items()})
         return self._append(self._conform(new), changelog.UPSERT)
 
-    def delete(self, where: str | None = None) -> int:
+    def delete(self, where=None) -> int:
         rows = self.read()
-        return self._append(rows.where(where) if where else rows, changelog.DELETE)
+        return self._append(rows if where is None else rows.where(where), changelog.DELETE)
 
     def create_unique_index(self, name: str, columns: list[str]) -> None:
         m = self.manifest

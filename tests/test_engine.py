@@ -10,10 +10,13 @@ from tessera import rest, types
 from tessera.dialect import to_spark
 from tessera.functions import json_fns
 from tessera.operators import collections as docs
-from tessera.operators import evidence, graph, ledger, search
+from tessera.operators import evidence, graph, ledger, recursion, search
+from tessera.operators.collection_store import Collection
+from tessera.plans import guardrail
 from tessera.session import Engine
 from tessera.sources import changelog
 from tessera.sources.table_store import TableStore, UniqueViolation
+from tessera.sources.transactions import Conflict, Transaction
 from tessera.streaming import seal
 
 SCALARS = [
@@ -194,6 +197,46 @@ def test_ledger():
     assert all(a.debits_pending == a.credits_pending == 0 for a in book.accounts.values())
 
 
+def test_transactions_and_collections_with_writes(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    t = store.create("t", {"id": "INTEGER", "v": "INTEGER"}, ["id"])
+    with Transaction(store) as tx:
+        tx.insert("t", spark.createDataFrame([(1, 1), (2, 2)], "id long, v long"))
+        tx.update("t", {"v": "v * 10"}, "id = 1")
+        tx.delete("t", "id = 2")
+        assert {r.id: r.v for r in tx.read("t").collect()} == {1: 10}
+        assert t.read().count() == 0
+    assert {r.id: r.v for r in t.read().collect()} == {1: 10}
+    tx = Transaction(store)
+    tx.read("t")
+    assert [r.v for r in t.update_returning({"v": "v + 1"}).collect()] == [11]
+    with pytest.raises(Conflict):
+        tx.commit()
+    assert [r.id for r in t.delete_returning().collect()] == [1] and t.read().count() == 0
+    c = Collection(store, "people")
+    c.insert([{"_id": "a", "n": 1}, {"_id": "b", "n": 2, "at": 10}])
+    c.create_index("u", ["n"], unique=True)
+    with pytest.raises(UniqueViolation):
+        c.insert([{"n": 2}])
+    assert c.update({"n": 1}, {"$set": {"n": 5}}) == 1 and c.count({"n": 5}) == 1
+    c.create_index("ttl", ["at"], expire_after=5)
+    assert c.sweep(now=100) == 1 and c.delete({"n": 5}) == 1 and c.count() == 0
+
+
+def test_recursion_json_and_guardrail(spark, tmp_path):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a int, b int")
+    got = recursion.recursive_union(spark.createDataFrame([(1,)], "n int"), lambda new: new.join(edges, F.col("n") == F.col("a")).select("b"))
+    assert {r.n for r in got.collect()} == {1, 2, 3}
+    row = recursion.json_rows(spark.sql("select 1.50 as d, '{\"a\":1}' as j, cast(null as string) as n"), ("j",)).first()[0]
+    assert row == '{"d":"1.50","j":{"a":1},"n":null}'
+    spark.range(200).write.parquet(str(tmp_path / "t.parquet"))
+    df = spark.read.parquet(str(tmp_path / "t.parquet"))
+    assert guardrail.check(df, {"t": [["id"]]}).count() == 100
+    assert guardrail.check(df.where("id = 5"), {"t": [["id"]]}).count() == 1
+    with pytest.raises(guardrail.NoIndex):
+        guardrail.check(df.groupBy().count(), {"t": [["id"]]})
+
+
 def test_queries_have_sql():
     import __spark_entry__ as e
 
