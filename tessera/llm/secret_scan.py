@@ -31,7 +31,7 @@ KEYWORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|acces
 CANDIDATE = (
     rf"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api_key|api-key|apikey|access_key|private_key|credential|auth)\s?[=:]\s?[\"']?)[^\s\"'<>,;]{{8,}}"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_.\-]{10,}"
-    r"|(?<![A-Za-z0-9_+/=\-])(?=[A-Za-z_+/=\-]{0,40}[0-9])[A-Za-z0-9_+/=\-]{16,}"
+    r"|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,40}[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
 )
 #: Words whose letters count as covered by the dictionary.
 DICTIONARY = ("example", "sample", "test", "dummy", "your", "change", "change", "insert", "here", "placeholder", "secret", "password", "token", "key", "value", "user", "name", "admin", "document", "report", "version", "image", "index", "page", "file", "data", "the", "and", "ing", "tion", "ent", "for", "her", "ver", "ion", "que", "ment", "der", "ung", "ich", "est", "xxx", "000", "123", "abc")
