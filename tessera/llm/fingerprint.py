@@ -40,7 +40,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str, width: int = 5) -> Data
     given = [c for c in df.columns if c != out]
     e, passed = F.expr, [f"`{c}`" for c in given]
     word = r"[ \\t-\\r]+"
-    step = df.select(*passed, e(f"filter(split(lower(`{text}`), '{word}'), w -> w <> '')").alias("_w"))
+    step = df.select(*passed, e(f"trim(both ' \\t\\n\\u000B\\u000C\\r' from lower(`{text}`))").alias("_t"))
+    step = step.select(*passed, e(f"if(length(_t) > 0, split(_t, '{word}'), cast(array() as array<string>))").alias("_w"))
     step = step.select(*passed, e("transform(_w, w -> xxhash64(w))").alias("_h"), e("size(_w)").alias("_n"))
     shingle = ", ".join(f"_h[i + {k}]" if k else "_h[i]" for k in range(width))
     step = step.select(*passed, e(f"case when _n >= {width} then transform(sequence(0, _n - {width}), i -> xxhash64({shingle})) when _n > 0 then array(xxhash64(_h)) else cast(array() as array<bigint>) end").alias("_s"), "_n")
@@ -54,7 +55,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, width: int = 5) -> Data
     ranked = f"array_min(transform(_f, x -> struct(xxhash64(b, {bin_of.format('x')}) as h, x as x))).x"
     step = step.select(*passed, e(f"if(_n > 0, transform(sequence(0, {BINS - 1}), b -> coalesce(_d[b], {tries}, {ranked})), cast(null as array<bigint>))").alias("_d"), "_n")
     packed = f"transform(sequence(0, {BINS // 16 - 1}), g -> aggregate(slice(_d, g * 16 + 1, 16), 0L, (a, v) -> shiftleft(a, {BITS}) | (v & {2**BITS - 1}L)))"
-    return step.select(*passed, e(f"if(_n > 0, {packed}, cast(array() as array<bigint>))").alias(out))
+    return step.select(*passed, e(f"if(_n > 0 and size(_d) > 0, {packed}, cast(array() as array<bigint>))").alias(out))
 
 
 def as_text(packed: Column) -> Column:
