@@ -5,11 +5,12 @@ Sums of floating-point columns are rounded on both sides, as their order differs
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.session import Engine
+from tessera.session import TABLES, Engine
 
 #: name: (text in the dialect, text for DuckDB or None where it is the same)
 SQL: dict[str, tuple[str, str | None]] = {
@@ -93,11 +94,12 @@ SQL: dict[str, tuple[str, str | None]] = {
 
 
 def _query(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: Engine(spark, sf_dir).sql(text)
+    named = [t for t in TABLES if re.search(rf"\b{t}\b", text)]
+    return lambda spark, sf_dir: Engine(spark, sf_dir, named).sql(text)
 
 
 def _parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Engine(spark, sf_dir).sql("SELECT o_orderkey FROM orders WHERE o_totalprice > $1 AND o_orderstatus = $2 -- $3 is a comment", [150000, "F"])
+    return Engine(spark, sf_dir, ["orders"]).sql("SELECT o_orderkey FROM orders WHERE o_totalprice > $1 AND o_orderstatus = $2 -- $3 is a comment", [150000, "F"])
 
 
 QUERIES = {name: _query(text) for name, (text, _) in SQL.items()} | {"p_parameters": _parameters}
