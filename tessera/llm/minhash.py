@@ -135,10 +135,11 @@ def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple
     node, own = group["node"].to_numpy(), group["own"].to_numpy()
     i, j = group["i"][0].as_py(), group["j"][0].as_py()
     flat, counts = shingle_sets(pc.cast(group["text"], pa.binary()).to_pylist(), width)
-    ends = np.cumsum(counts)
-    sets = [flat[e - c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+    starts = np.cumsum(counts) - counts
+    words, at = np.unique(flat, return_inverse=True)  # shingles as numbers from 0, for this group
+    sets = np.split(at, starts[1:])
     bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), 2 * m)
-    label = np.arange(len(node))
+    label, mark = np.arange(len(node)), np.zeros(len(words), bool)
     found = []
     for x in range(len(node)):
         # each pair once; between two blocks only those across
@@ -150,15 +151,19 @@ def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple
             continue
         same = bands[y] == bands[x]
         y = y[same[:, :m].any(1) & same[:, m:].any(1)]
-        for z in y.tolist():
-            if label[z] == label[x]:
-                continue
-            both = np.concatenate([sets[x], sets[z]])
-            both.sort()
-            inter = int((both[1:] == both[:-1]).sum())
-            if den * inter >= num * (len(both) - inter):
-                found.append((node[x], node[z]))
-                label[label == label[z]] = label[x]
+        if not len(y):
+            continue
+        mark[sets[x]] = True
+        if 4 * len(y) < len(node):
+            inter = np.array([np.count_nonzero(mark[sets[z]]) for z in y.tolist()])
+        else:
+            inter = np.add.reduceat(mark[at].astype(np.int32), starts)[y]
+        mark[sets[x]] = False
+        y = y[den * inter >= num * (counts[x] + counts[y] - inter)]
+        if len(y):
+            _, one = np.unique(label[y], return_index=True)  # a link to each component is enough
+            found += [(node[x], node[z]) for z in y[one].tolist()]
+            label[np.isin(label, label[y])] = label[x]
     a, b = np.array(found, np.int64).reshape(-1, 2).T
     return a, b
 
