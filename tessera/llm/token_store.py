@@ -50,7 +50,7 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaced = TwoGenerations(lambda p: self.direct(" " + p), 200_000)
+        self.spaced = TwoGenerations(lambda p: self.direct(" " + p), 350_000)
         split = self.tokenizer.pre_tokenizer
         self.by_spaces = self.tokenizer.normalizer is None and "ByteLevel" in repr(split) and "add_prefix_space=False" in repr(split)
 
@@ -63,7 +63,7 @@ class LibraryEncoder:
         new = list({p for x in cut if x for p in x[1:]} - spaced.keys() - spaced.old.keys())
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch([" " + p for p in part], add_special_tokens=False), strict=True):
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([" " + p for p in part], add_special_tokens=False), strict=True):
                 spaced.put(p, np.array(e.ids, "<u4").tobytes())
         return [self.direct(t) if x is None else self.direct(x[0]) + b"".join(map(spaced.__getitem__, x[1:])) for t, x in zip(texts, cut, strict=True)]
 
