@@ -172,6 +172,31 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("cost", [20, embedding_dedup.PASS_COST])
+def test_embeddings_dense_region(spark, monkeypatch, cost):
+    monkeypatch.setattr(embedding_dedup, "PASS_COST", cost)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, dim = 9000, 64
+    x, mean = unit(rng.normal(size=(n, dim))), unit(rng.normal(size=dim))
+    x[: n // 3] = unit(0.8**0.5 * mean + 0.2**0.5 * x[: n // 3])
+    x[1000:2000] = unit(0.955 * x[:1000] + (1 - 0.955**2) ** 0.5 * unit(rng.normal(size=(1000, dim))))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table).collect()}
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    assert len(a) >= 1000 and sum(got[i] != got[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)) <= 0.004 * len(a)
+
+
+def test_bits_needed():
+    rng = np.random.default_rng(1)
+    sign = np.concatenate([np.sort(rng.integers(0, 2**63 - 1, n) >> rng.integers(0, 60, n)) for n in (90, 110)])
+    group = np.repeat([0, 1], [90, 110])
+    for window in (1, 4, 9):
+        got = embedding_dedup.bits_needed(group, sign, window)
+        for i in range(window + 1, len(sign) - window - 1):
+            assert got[i] == next((k for k in range(64) if ((sign >> (63 - k) == sign[i] >> (63 - k)) & (group == group[i])).sum() <= window + 1), 64)
+
+
 def test_components(spark):
     for one_task in (0, 0, 1000):
         pairs = [(RANDOM.randint(0, 60), RANDOM.randint(0, 60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)]
