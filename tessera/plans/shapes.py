@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import rest
@@ -201,6 +201,22 @@ def e_bool_query(spark, sf_dir):
     return index.ids({"bool": {"must": [{"match": {"text": "rights reserved"}}], "filter": [{"term": {"lang": "en"}}, {"range": {"n_chars": {"gte": 1000}}}], "must_not": [{"term": {"source": "src0"}}]}})
 
 
+# -- windows: one global numbering
+
+
+@registered("SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS rn FROM orders")
+def w_row_number_all(spark, sf_dir):
+    """All orders: numbers within ranges, plus the rows of the ranges before; no task holds the whole table."""
+    key = [F.col("o_totalprice").asc_nulls_last(), F.col("o_orderkey").asc_nulls_last()]
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    spread = spread.withColumn("_at", F.monotonically_increasing_id())
+    numbered = graph._save(spread.select("o_orderkey", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_at")))
+    ranges = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))  # one row for each range
+    ranges = ranges.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(ranges), "_part").select("o_orderkey", (F.col("_before") + F.col("_at") + 1).alias("rn"))
+
+
 # -- graph: suppliers to parts
 
 

@@ -164,6 +164,17 @@ def test_graph(spark):
     assert graph.changed(e, after) == 0
 
 
+def test_row_number_of_all_orders(spark, tmp_path):
+    from tessera.plans import shapes
+
+    rng = random.Random(4)
+    rows = [(k, None if k % 97 == 0 else float(rng.randint(1, 300))) for k in range(0, 20000, 3)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    want = {k: n + 1 for n, (k, _) in enumerate(sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0])))}
+    assert {r.o_orderkey: r.rn for r in shapes.w_row_number_all(spark, str(tmp_path)).collect()} == want
+
+
 def test_merkle_all_sizes(spark):
     every = []
     for n in range(1, 33):
