@@ -243,6 +243,12 @@ def g_widest(spark, sf_dir):
     return graph.widest(_edges(spark, sf_dir).where("src in ('s1', 's2', 's3')"), "s1", directed=False)
 
 
+@registered()
+def g_widest_all(spark, sf_dir):
+    """Over all edges.  No SQL: a recursive query enumerates paths; tests hold it against brute force."""
+    return graph.widest(_edges(spark, sf_dir), "s1", directed=False)
+
+
 # -- chains: conversations
 
 

@@ -164,6 +164,26 @@ def test_graph(spark):
     assert graph.changed(e, after) == 0
 
 
+def test_widest_over_all_edges(spark, tmp_path):
+    from tessera.plans import shapes
+
+    rng = random.Random(6)
+    rows = [(rng.randint(1, 12), rng.randint(1, 25), float(rng.randint(1, 50))) for _ in range(60)] + [(90, 90, 5.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    weight: dict = {}
+    for s, p, q in rows:
+        weight[f"s{s}", f"p{p}"] = weight.get((f"s{s}", f"p{p}"), 0) + int(q)
+    arcs = [(*e, w) for (a, b), w in weight.items() for e in ((a, b), (b, a))]
+    best = {"s1": 10**9}
+    for _ in range(len(arcs)):  # until nothing changes, at most as many rounds as arcs
+        for a, b, w in arcs:
+            if a in best:
+                best[b] = max(best.get(b, 0), min(best[a], w))
+    want = {k: None if k == "s1" else w for k, w in best.items()}
+    assert any(k[0] == "s" and int(k[1:]) > 3 for k in want)
+    assert {r.node: r.bottleneck for r in shapes.g_widest_all(spark, str(tmp_path)).collect()} == want
+
+
 def test_row_number_of_all_orders(spark, tmp_path):
     from tessera.plans import shapes
 
