@@ -35,8 +35,12 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it, as rows; documents that the mix does not take are left out."""
-    copies = mixing.mix(docs).where("copies > 0").select("doc_id", "copies").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    return docs.join(copies, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    # equal rows have one mark and are interchangeable; nulls are hashed by place, as hashes skip them
+    parts = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    marked = docs.withColumns({"_r1": F.xxhash64(*parts), "_r2": F.xxhash64(F.lit(1), *reversed(parts))})
+    copies = mixing.mix(marked, beside=("_r1", "_r2")).where("copies > 0").groupBy("_r1", "_r2").agg(F.sum("copies").alias("_copies"))
+    once = marked.dropDuplicates(["_r1", "_r2"]).join(copies, ["_r1", "_r2"])
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

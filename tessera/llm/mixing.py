@@ -134,9 +134,10 @@ def targets(sizes: DataFrame, most: float, weights: tuple[float, ...]) -> DataFr
     return out
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
-    """(key, source, size, source_size, target, copies, taken): how often the mix has each document, and so many words."""
-    lite = save(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")).withColumn("h", F.xxhash64(F.lit(seed), "key")), "sizes")
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, weights: tuple[float, ...] = WEIGHTS, seed: int = SEED, beside: tuple[str, ...] = ()) -> DataFrame:
+    """(key, source, size, source_size, target, copies, taken): how often the mix has each document, and so many words; then the columns ``beside`` of its row."""
+    h = F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), F.col(text))).otherwise(F.xxhash64(F.lit(seed), F.col(key)))
+    lite = save(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), h.alias("h"), *beside), "sizes")
     hist = save(lite.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
     goals = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), most, weights)
 
@@ -152,9 +153,9 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     cells = lite.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = cells.select("source", "size", "bucket", F.coalesce(F.sum("n").over(Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     allowed = before.alias("a").join(plans.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))).select("a.source", "a.size", "bucket", (F.col("more") - F.col("before")).alias("room"), "source_size", "target", "rounds")
-    at = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "key"))
+    at = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "key", *beside))
     numbered = lite.withColumn("at", at)
     out = numbered.alias("a").join(allowed.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.bucket") == F.col("b.bucket")))
     copies = F.when(F.col("a.size") > 0, F.col("rounds") + F.when(F.col("at") <= F.col("room"), 1).otherwise(0)).otherwise(0).cast("long")
-    return out.select(F.col("key").alias(key), F.col("a.source").alias("source"), F.col("a.size").alias("size"), "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select(F.col("key").alias(key), F.col("a.source").alias("source"), F.col("a.size").alias("size"), "source_size", "target", copies.alias("copies"), (copies * F.col("a.size")).alias("taken"), *beside)
 

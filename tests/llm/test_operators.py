@@ -314,3 +314,33 @@ def test_pipeline_stages(docs):
     copies = Counter(r.doc_id for r in mixed.select("doc_id").collect())
     assert max(copies.values()) <= 3
     assert docs.where(F.col("text").isNotNull()).count() > 0
+
+
+def test_pipeline_mixes_rows_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rows = [(None if i % 3 == 0 else i // 4, prose(5 + i % 7), None if i % 4 == 0 else "en", f"s{i % 3}", None) for i in range(60)]
+    rows += [rows[0], rows[1], rows[1]]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    planned, want = mixing.mix(table).collect(), Counter()
+    for r in planned:  # rows of one id, source and size are interchangeable
+        want[r.doc_id, r.source, r.size] += r.copies
+    mixed = corpus_pipeline.mixing_stage(spark, table, "").collect()
+    assert {tuple(r) for r in mixed} <= set(rows) and len(planned) == len(rows)
+    got = Counter((r.doc_id, r.source, len(r.text.split())) for r in mixed)
+    assert got == +want and any(k[0] is None for k in got)
+
+
+def test_pipeline_runs_whole(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from tessera.llm import quality
+
+    monkeypatch.setattr(quality, "scored", lambda docs, labels, out: docs.withColumn(out, F.lit(1.0)))
+    monkeypatch.setattr(corpus_pipeline.bpe, "encoded_digests", lambda docs: docs)
+    rows = [(None if i % 3 == 0 else i // 2, prose(30 + i % 7), "en", f"s{i % 3}", 1) for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter((r.doc_id, r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert set(got) <= {(r[0], r[1]) for r in rows} and max(got.values()) <= 4
+    assert any(k[0] is None for k in got) and any(k[0] is not None for k in got)
