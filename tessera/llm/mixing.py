@@ -33,10 +33,15 @@ WEIGHTS = (1, 2, 3)
 SEED = 42
 #: Buckets of the hash in which the documents of one (source, length) are numbered.
 BUCKETS = 1024
-#: Words that the table of sums decides about; what a source needs above is shared out by length beforehand.
+#: Words that the table of sums decides about, or four times the longest text; what a source needs above is shared out by length beforehand.
 MAX_CELLS = 200_000
 
 
+def room_for(lengths: np.ndarray) -> int:
+    """Words that the table decides about, so many that half of them hold any document: none is passed over for its length."""
+    return max(MAX_CELLS, 4 * int(lengths.max(initial=0)))
+
+
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -50,14 +55,14 @@ def exact_fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
     taken = np.zeros(len(lengths), np.int64)
     if budget <= 0 or not len(lengths):
         return taken
-    order = np.random.default_rng(SEED).permutation(len(lengths))
+    order, room = np.random.default_rng(SEED).permutation(len(lengths)), room_for(lengths)
     for k in order:  # narrows a gap that the table should not hold
-        if budget <= MAX_CELLS:
+        if budget <= room:
             break
-        n = min(counts[k], max(0, budget - MAX_CELLS // 2) // lengths[k])
+        n = min(counts[k], max(0, budget - room // 2) // lengths[k])
         taken[k] += n
         budget -= int(n * lengths[k])
-    if budget > MAX_CELLS:  # only with too few documents, or single ones longer than the table
+    if budget > room:  # only if all documents are taken
         return taken
     made_by = np.full(budget + 1, -1, np.int32)
     reached = np.zeros(budget + 1, bool)
@@ -99,7 +104,7 @@ def plan_source(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[i
     if budget <= 0:
         return rounds, more
     live = sizes > 0
-    more[live] = (counts[live].astype(object) * max(0, budget - MAX_CELLS) // total).astype(np.int64)
+    more[live] = (counts[live].astype(object) * max(0, budget - room_for(sizes[live])) // total).astype(np.int64)
     gap = budget - int((more * sizes).sum())
     rest = np.where(live, counts - more, 0)
     use = rest > 0

@@ -121,6 +121,20 @@ def test_exact_fill():
         assert (taken <= counts).all() and (taken * lengths).sum() == max(s for s in sums if s <= budget)
 
 
+LONG = [
+    ([240_000], [3], 500_000, 480_000),
+    ([250_000, 260_000, 270_000, 280_000], [1] * 4, 530_000, 530_000),
+    ([250_000, 280_000, 300_000], [1] * 3, 530_000, 530_000),
+    ([250_000, 300_000], [4, 10], 1_000_000, 1_000_000),
+]
+
+
+@pytest.mark.parametrize("sizes, counts, target, best", LONG)
+def test_mixing_fits_budgets_of_long_texts(sizes, counts, target, best):
+    rounds, more = mixing.plan_source(np.array(sizes), np.array(counts), float(target))
+    assert rounds == 0 and (more <= counts).all() and int(more @ np.array(sizes)) == best
+
+
 @pytest.mark.parametrize("most", [1, 1500])
 def test_suffix_dedup(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST", most)
