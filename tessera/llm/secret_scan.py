@@ -27,16 +27,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KEYWORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth"
-#: After a key word and = or :, any value; known beginnings; and long runs with a digit.
+#: Between a key word and its value: closing quotes or brackets, an assignment, an opening quote; white space in runs of up to 32.
+ASSIGNED = r"[\\\"'`\])}]{0,4}\s{0,32}(?:={1,3}>?|:=?)\s{0,32}\\?[\"'`]?"
+#: After a key word and ASSIGNED, any value (the short look-behind spares most places the long one); passwords of addresses (up to 128 characters, user up to 64); known beginnings; and long runs with a digit.
 CANDIDATE = (
-    rf"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api_key|api-key|apikey|access_key|private_key|credential|auth)\s?[=:]\s?[\"']?)[^\s\"'<>,;]{{8,}}"
+    r"(?<=[\s=:>\"'`])(?=[^\s\"'<>,;=`][^\s\"'<>,;]{7})"
+    rf"(?<=(?i:password|passwd|pwd|passphrase|secret|token|api_key|api-key|apikey|access_key|private_key|credential|auth){ASSIGNED})[^\s\"'<>,;]{{8,}}"
+    r"|(?<=:)(?=[^\s/@\"'<>]{4,128}@[A-Za-z0-9\[])(?<=[A-Za-z0-9]://[^\s/:@\"'<>]{0,64}:)[^\s/@\"'<>]{4,}"
     r"|(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|ghs_|glpat-|sk-|sk_live_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_.\-]{10,}"
     r"|(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,40}[0-9])[A-Za-z0-9_+/\-]{16,}={0,2}"
 )
 #: Words whose letters count as covered by the dictionary.
 DICTIONARY = ("example", "sample", "test", "dummy", "your", "change", "change", "insert", "here", "placeholder", "secret", "password", "token", "key", "value", "user", "name", "admin", "document", "report", "version", "image", "index", "page", "file", "data", "the", "and", "ing", "tion", "ent", "for", "her", "ver", "ion", "que", "ment", "der", "ung", "ich", "est", "xxx", "000", "123", "abc")
 THRESHOLD = 0.5
-FEATURES = ("length", "digits", "uppers", "lowers", "moves", "covered", "hexed", "path", "keyed", "known", "tame", "spread")
+FEATURES = ("length", "digits", "uppers", "lowers", "moves", "covered", "hexed", "path", "keyed", "login", "known", "tame", "spread")
 
 
 def with_features(df: DataFrame) -> DataFrame:
@@ -53,7 +57,8 @@ def with_features(df: DataFrame) -> DataFrame:
         "covered": 1 - F.length(F.regexp_replace(F.lower(v), "|".join(dict.fromkeys(DICTIONARY)), "")) / n,
         "hexed": v.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$").cast("double"),
         "path": (F.col("lhs").rlike(r"(?:[/\\@.]|://\S*)$") | F.col("rhs").rlike(r"^[/\\@.][A-Za-z0-9]")).cast("double") + F.regexp_count(v, F.lit("/")) / n,
-        "keyed": F.col("lhs").rlike(rf"(?i)(?:{KEYWORDS})\W{{0,4}}$").cast("double"),
+        "keyed": F.col("lhs").rlike(rf"(?i)(?:{KEYWORDS})(?:\W{{0,4}}|{ASSIGNED})$").cast("double"),
+        "login": (F.col("lhs").rlike(r"://[^\s/:@]*:$") & F.col("rhs").startswith("@")).cast("double"),
         "known": v.rlike(r"^(?:AKIA|ASIA)[0-9A-Z]{12,}$|^(?:ghp_|gho_|ghs_|glpat-|sk-|sk_live_|xox[abprs]-|AIza|eyJ)").cast("double"),
         "tame": F.col("lhs").rlike(r"(?i)(?:commit|sha\d*|md5|digest|uuid|guid|isbn|order|invoice|phone|card|iban|id|tel|no\.?|example|sample)\W{0,4}$").cast("double"),
         "spread": F.size(F.array_distinct(F.split(v, ""))) / n,
@@ -69,6 +74,8 @@ def labelled_findings(n: int = 1500, seed: int = 3) -> list[tuple[str, str, str,
     word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
     text = lambda: " ".join(word() for _ in range(3))
     key = lambda: rng.choice(("password", "token", "secret", "api_key", "pwd", "access_key", "passwd", "auth")) + rng.choice(("=", " = ", ": ", ' = "', '="', ":"))
+    quoted = lambda: rng.choice(("{\"", "'", ":", "[\"")) + rng.choice(("password", "api_key", "token", "secret", "auth")) + rng.choice(("\": \"", "\":\"", "' => '", " => '", "\"] = \"", "  =  ", "':  '", " := \""))
+    login = lambda: rng.choice(("postgres", "https", "redis", "amqp", "ftp")) + "://" + rng.choice((word(), "admin", "")) + ":"
     case = lambda s: s.upper() if rng.random() < 0.15 else s
     secrets = (
         lambda: (text() + " ", rng.choice(("AKIA", "ASIA")) + of(upper + digit, 16)),
@@ -77,6 +84,8 @@ def labelled_findings(n: int = 1500, seed: int = 3) -> list[tuple[str, str, str,
         lambda: (text() + " " + key(), of(lower + upper + digit + "!$%&*+-_", rng.randint(10, 24))),
         lambda: (text() + " ", rng.choice(("ghp_", "gho_", "glpat-", "sk-", "sk_live_", "xoxb-", "AIza")) + of(lower + upper + digit, rng.randint(20, 40))),
         lambda: (text() + " ", of(lower + upper + digit + "+/", rng.randint(36, 44))),
+        lambda: (text() + " " + quoted(), of(lower + upper + digit + rng.choice(("", "!$%&*+-_")), rng.randint(8, 24))),
+        lambda: (text() + " " + login(), of(lower + upper + digit + rng.choice(("", "!$%&*+-_")), rng.randint(6, 20)), "@" + word() + ".com"),
         lambda: (text() + " ", "eyJ" + of(lower + upper + digit, 30) + "." + of(lower + upper + digit + "_-", 40)),
     )
     harmless = (
@@ -88,14 +97,16 @@ def labelled_findings(n: int = 1500, seed: int = 3) -> list[tuple[str, str, str,
         lambda: (text() + " ", "-".join((of(digit, 3), of(digit, 3), of(digit, 4), of(digit, 4)))),
         lambda: (text() + " " + key(), rng.choice(("your_password_here", "changeme_example", "xxxxxxxxxxxx", "********", "placeholder", "example_token_value", "insert_token_here"))),
         lambda: (text() + " " + key(), word() + word() + word()),
+        lambda: (text() + " " + quoted(), rng.choice(("your_password_here", "changeme_example", "xxxxxxxxxxxx", "********", "placeholder", "example_token_value", word() + word() + word()))),
+        lambda: (text() + " " + login(), rng.choice(("password", "secret", "placeholder", "xxxxxxxx", "********", "changeme")), "@" + word() + ".com"),
         lambda: (text() + " /" + word() + "/", word() + "_v" + of(digit, 2) + "_" + word() + word()),
         lambda: (text() + " ", of(digit, 4) + "-" + of(digit, 2) + "-" + of(digit, 2) + "T" + of(digit, 6)),
         lambda: (text() + " ", "=" * rng.randint(14, 30) + of(digit, 2)),
     )
     out = []
     for k in range(n):
-        left, value = rng.choice(secrets if k % 2 else harmless)()
-        out.append((left[-60:], value, " " + text(), k % 2))
+        left, value, *right = rng.choice(secrets if k % 2 else harmless)()
+        out.append((left[-60:], value, "".join(right) + " " + text(), k % 2))
     return out
 
 

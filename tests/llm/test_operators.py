@@ -302,6 +302,21 @@ def test_secrets(spark, nothing):
     assert secret_scan.findings(nothing).count() == 0 and secret_scan.redact(nothing).count() == 0
 
 
+FORMS = ['{"password": "%s"}', '"api_key":"%s"', ":password => '%s'", "password   =   %s", "config['secret'] = '%s'", "token := %s", "x postgres://ann:%s@db.org/x", "password=%s"]
+
+
+def test_secrets_behind_quoted_keys_and_in_addresses(spark):
+    values = ["kT9vQ2xLm4z", "Zx8kQw!pLr$2mN"]
+    rows = [(k, form % v, v) for k, (form, v) in enumerate((f, v) for f in FORMS for v in values)]
+    d = spark.createDataFrame([(k, f"one {t} two") for k, t, _ in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_scan.findings(d).collect()}
+    assert {k: got[k].value for k in got} == {k: v for k, _, v in rows} and all(r.is_secret for r in got.values())
+    clean = {r.doc_id: r.text for r in secret_scan.redact(d).collect()}
+    assert not [k for k, _, v in rows if v in clean[k]]
+    tame = spark.createDataFrame([(0, '{"password": "placeholder"}'), (1, "a token: the mention of it")], "doc_id long, text string")
+    assert not secret_scan.findings(tame).where("is_secret").count()
+
+
 def test_urls(spark):
     urls = ["http://A.Example.NET/en/x?y", "https://example.net/fr/", "http://x.net", "http://casino-x.org/fr/1", "http://my.casino-x.com/", None, "no host", "ftp://org/fr/", "http://notexample.net/en/", "http://example.com/de/#", "http://example.com/DE/", "a://b://c/d"]
     d = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, rule string")
