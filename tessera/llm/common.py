@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import re
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -16,13 +18,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python worker handles at once; a longer text makes a step of its own.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: texts are long, and each batch is held by the JVM and by a worker.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows, for the session; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares; a temporary one only where none is named, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +56,11 @@ def save(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns renamed _0, _1, ..., so that no name of its own clashes with a working column."""
+    return df.toDF(*[f"_{k}" for k in range(len(df.columns))])
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what save() wrote, once nothing reads it any more."""
     for df in frames:
@@ -66,19 +84,6 @@ def text_slices(batches: Iterable[pa.RecordBatch], text: str, step: int = STEP_B
             at = to
 
 
-_RUN = re.compile(r"\s \s")
-
-
-def pieces(text: str) -> list[str] | None:
-    """text cut at its spaces, where a byte-level pre-tokeniser cuts too; all pieces but the first lack their space.
-
-    A space after a character that is no white space begins a pre-token, and so does
-    the last space of a run before a word.  Only a space between two white-space
-    characters may lie inside a pre-token: then None.
-    """
-    return None if _RUN.search(text) else text.split(" ")
-
-
 class TwoGenerations(dict):
     """A bounded memo: what comes again moves over from the old generation, the rest is forgotten."""
 
@@ -99,6 +104,81 @@ class TwoGenerations(dict):
         if len(key) <= 64:  # long ones hardly come again
             self[key] = got
 
+    def many(self, keys: list, make) -> list:
+        """The values of all keys; make turns the list of those that are not known into their values."""
+        out = list(map(self.get, keys))
+        new = []
+        for k in [k for k, x in enumerate(out) if x is None]:
+            if (got := self.old.get(keys[k])) is None:
+                new.append(k)
+            else:
+                out[k] = got
+                self.put(keys[k], got)
+        for k, got in zip(new, make([keys[k] for k in new]) if new else (), strict=True):
+            out[k] = got
+            self.put(keys[k], got)
+        return out
+
+
+#: White space as split patterns and Python know it; what matches is not cut.
+_SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+_WHOLE = rf"{_SPACE} {_SPACE}|\x00"
+
+
+def gather(table: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``codes`` of a table of stretches of the given sizes, one after another, and where each ends."""
+    starts, n = np.cumsum(size) - size, size[codes]
+    ends = np.cumsum(n)
+    return table[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def encode_by_pieces(texts: pa.Array, memo: TwoGenerations, many, whole) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, ends): token ids of all texts one after another, and where each text's end; null is empty.
+
+    A byte-level pre-tokeniser cuts at a space after a character that is no white space,
+    and at the last space of a run before a word.  Only a space between two white-space
+    characters may lie inside a pre-token.  So other texts are cut before each space, and
+    each distinct piece is encoded once: ``many`` turns pieces, with their space, into
+    ids (little-endian unsigned 32-bit), ``whole`` a text that can't be cut.
+    """
+    texts = pc.fill_null(texts, "")
+    odd = pc.match_substring_regex(texts, _WHOLE)
+    cut = pc.split_pattern(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\x00 "), "\x00")
+    coded = cut.flatten().dictionary_encode()
+    parts = memo.many(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), many)
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    ids, ends = gather(np.frombuffer(b"".join(parts), "<u4"), size, coded.indices.to_numpy())
+    ends = np.concatenate([[0], ends])[cut.offsets.to_numpy()[1:]]
+    if own := np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+        split = np.split(ids, ends[:-1])
+        for k in own:
+            split[k] = np.frombuffer(whole(texts[k].as_py()), "<u4")
+        ids, ends = np.concatenate(split), np.cumsum([len(x) for x in split])
+    return ids, ends
+
+
+#: What this Python worker keeps between tasks, under the name of the operator that made it.
+_kept: dict[str, object] = {}
+
+
+def solely(name: str | None, make=None):
+    """What the worker keeps for the operator ``name``, made where it is missing; what it keeps for others is given up.
+
+    Workers serve one stage after another, and each stage's memos are of no use to the next.
+    """
+    if others := [k for k in _kept if k != name]:
+        for other in others:
+            del _kept[other]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+    if name is None:
+        return None
+    if name not in _kept:
+        _kept[name] = make()
+    return _kept[name]
+
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of unsigned 64-bit integers."""
@@ -181,7 +261,9 @@ def connected_components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFram
         e = new
         done, state = now == state, now
     # now every edge goes from a node to its root
-    return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._saved_at = e._saved_at  # discard(out) deletes the last edges
+    return out
 
 
 def runs(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
