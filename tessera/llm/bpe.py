@@ -6,14 +6,17 @@ of neighbouring tokens is one that the merges themselves would produce.  Such a
 chain of locally valid pairs is the BPE encoding, and for each prefix of the input
 there is exactly one, so the subset construction stays small: one thread for each
 place where the current token may have begun.  States are built on first use and
-kept in a bounded table.  A token is emitted as soon as all threads agree on it,
-which is after at most one token length of lookahead.
+kept in a bounded table, which turns over when it is full.  A token is emitted as soon
+as all threads agree on it, which is after at most one token length of lookahead.
 
 Decoding is incremental: an UTF-8 state machine finds how much of a chunk is
 complete, so characters may straddle chunks.
 
-Null texts encode as empty; ids are 0-based ranks; no special tokens exist, and
-their strings in a text are ordinary text.  Repeated rows are encoded each.
+Cases: null and empty texts have no ids; a text of any length is encoded whole; ids are
+0-based ranks; no special tokens exist, and their strings in a text are ordinary text;
+repeated rows are encoded each; an empty table gives no rows; extra columns pass through
+``encode_documents`` and ``decode_documents``, but for one named like the output, which
+is replaced, and are ignored by ``encoded_digests``.
 """
 
 from __future__ import annotations
@@ -21,17 +24,18 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import TwoGenerations, pieces, text_slices
+from tessera.llm.common import TwoGenerations, encode_by_pieces, gather, lean, solely, text_slices
 
-#: Bounds of what one Python worker keeps: pre-tokens, states of the transducer, and pairs known to fit or not.
-MAX_WORDS = 300_000  # twice: a new and an old generation
+#: Bounds of what one Python worker keeps (pre-tokens, pieces and states twice: a new and an old generation), and bytes of text that it encodes at once.
+MAX_WORDS = 250_000
 MAX_STATES = 40_000
+TURN = 100_000  # inputs that leave a full state table, until it turns over
+ENCODE_BYTES = 4_000_000
 MAX_PAIRS = 400_000
 START = -1
 #: The split pattern for which texts may be cut at spaces first (fixed value: that of the public vocabulary).
@@ -108,24 +112,28 @@ class Merges:
 
 
 class State:
-    __slots__ = ("threads", "tail", "moves")
+    """threads: what the input so far may mean; old: the same state in the generation of the table before this one."""
 
-    def __init__(self, threads: tuple):
-        self.threads = threads
-        self.tail = np.array(threads[-1][0][1:], "<u4").tobytes()  # what an end of input here emits
+    __slots__ = ("threads", "tail", "moves", "old")
+
+    def __init__(self, threads: tuple, old: State | None = None):
+        self.threads, self.old = threads, old
+        self.tail = old.tail if old else None  # what an end of input here emits, once that is known
         self.moves: dict[int, tuple[State, bytes]] = {}
 
 
 class Transducer:
     """Bytes in, token ids (little-endian unsigned 32-bit) out.
 
-    States are determinised on first use.  When their table is full, an input that
-    leaves it is finished nondeterministically: the threads are followed as they are,
-    at the same result and without new states.
+    States are determinised on first use.  An input that leaves a full table is finished
+    by following its threads as they are, at the same result and without new states.
+    After ``turn`` such inputs the table turns over: a new generation begins, into which
+    states and moves that come again are taken from the old one as they are; the rest
+    goes with the turn after.  So the table holds what the input of late has needed.
     """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.merges, self.max_states = Merges(ranks), max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, turn: int = TURN):
+        self.merges, self.max_states, self.turn, self.left = Merges(ranks), max_states, turn, 0
         self.child: dict[int, int] = {}  # node * 256 + byte
         self.ends: list[int] = [-1]
         inner = set()
@@ -152,31 +160,46 @@ class Transducer:
             got = self.fit_memo[at] = self.merges.fits(left, right)
         return got
 
+    def state_of(self, threads: tuple, old: State | None = None) -> State | None:
+        """The state of the threads; None where a full table lacks it."""
+        if (state := self.states.get(threads)) is None and len(self.states) < self.max_states:
+            state = self.states[threads] = State(threads, old)
+        return state
+
+    def turn_over(self) -> None:
+        for x in self.states.values():
+            x.old = None  # the generation before goes
+        self.start = State(self.start.threads, self.start)
+        self.states, self.left = {self.start.threads: self.start}, 0
+
     def move(self, state: State, b: int) -> tuple[State, bytes] | None:
-        """The next state and what the move emits; None where the table is full."""
-        if len(self.states) >= self.max_states:
+        """The next state and what the move emits; None where a full table lacks it."""
+        if state.old and (known := state.old.moves.get(b)):
+            if (to := self.state_of(known[0].threads, known[0])) is None:
+                return None
+            made = state.moves[b] = to, known[1]
+            return made
+        if len(self.states) >= self.max_states:  # most likely a new one
             return None
-        out, new = [], None
+        out, new, child, ends, inner = [], None, self.child.get, self.ends, self.inner
         for chain, node in state.threads:
-            node = self.child.get(node << 8 | b)
-            if node is None:
+            if (node := child(node << 8 | b)) is None:
                 continue
-            t = self.ends[node]
-            if t >= 0 and new is None and (chain[-1] == START or self.fits(chain[-1], t)):
+            if new is None and (t := ends[node]) >= 0 and ((u := chain[-1]) == START or self.fits(u, t)):
                 new = (*chain, t)
-            if node in self.inner:  # the rest can't go on
+            if node in inner:  # the rest can't go on
                 out.append((chain, node))
         if new is None:
             raise ValueError("the vocabulary lacks single bytes")
         out.append((new, 0))
-        first, agreed = out[0][0], min(len(c) for c, _ in out)
+        first, agreed = out[0][0], min([len(c) for c, _ in out])
         n = 1
-        while n < agreed and all(c[n] == first[n] for c, _ in out):
+        while n < agreed and all([c[n] == first[n] for c, _ in out]):
             n += 1
-        threads = tuple((c[n - 1 :], node) for c, node in out)
-        if (to := self.states.get(threads)) is None:
-            to = self.states[threads] = State(threads)
-        state.moves[b] = made = to, np.array(first[1:n], "<u4").tobytes()
+        threads = tuple(out if n == 1 else [(c[n - 1 :], node) for c, node in out])
+        if (to := self.state_of(threads)) is None:
+            return None
+        made = state.moves[b] = to, self.coded(first[1:n])
         return made
 
     def follow(self, text: bytes) -> bytes:
@@ -203,17 +226,25 @@ class Transducer:
         while at:
             out.append(token[at])
             at = where[at]
-        return np.array(out[::-1], "<u4").tobytes()
+        return self.coded(out[::-1])
+
+    @staticmethod
+    def coded(tokens: Iterable[int]) -> bytes:
+        return b"".join([t.to_bytes(4, "little") for t in tokens])
 
     def encode(self, text: bytes) -> bytes:
         state, out = self.start, []
         for b in text:
-            got = state.moves.get(b) or self.move(state, b)
-            if got is None:
+            if (got := state.moves.get(b) or self.move(state, b)) is None:
+                self.left += 1
+                if self.left >= self.turn:
+                    self.turn_over()
                 return self.follow(text)
             state = got[0]
             if got[1]:
                 out.append(got[1])
+        if state.tail is None:
+            state.tail = self.coded(state.threads[-1][0][1:])
         out.append(state.tail)
         return b"".join(out)
 
@@ -268,37 +299,34 @@ class Codec:
         self.split = regex.compile(pattern).finditer
         self.by_spaces = pattern == SPLIT
         self.transducer = Transducer(read_ranks(path))
-        self.token = self.transducer.merges.token
+        self.token = np.frombuffer(b"".join(self.transducer.merges.token), np.uint8)
+        self.size = np.fromiter(map(len, self.transducer.merges.token), np.int64)
         self.words = TwoGenerations(lambda w: self.transducer.encode(w.encode("utf-8", "surrogatepass")), MAX_WORDS)
-        self.spaced = TwoGenerations(lambda p: self.encode_piece(" " + p), MAX_WORDS)
+        self.memo = TwoGenerations(self.encode_piece, MAX_WORDS)
 
     def encode_piece(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
         get = self.words.__getitem__
         return b"".join([get(m.group()) for m in self.split(text)])
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        cut = pieces(text) if self.by_spaces else None
-        if cut is None:
-            return self.encode_piece(text)
-        first = cut.pop(0)
-        return self.encode_piece(first) + b"".join(map(self.spaced.__getitem__, cut))
-
-    def decode(self, ids: bytes, chunk: int = 65_536) -> Iterator[bytes]:
-        """The bytes of the ids, in pieces."""
-        numbers, get = np.frombuffer(ids, "<u4"), self.token.__getitem__
-        for i in range(0, len(numbers), chunk):
-            yield b"".join(map(get, numbers[i : i + chunk].tolist()))
-
-    def text(self, ids: bytes, chunk: int = 65_536) -> str:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts one after another, and where each text's end."""
+        if self.by_spaces:
+            return encode_by_pieces(texts, self.memo, lambda new: [self.encode_piece(p) for p in new], self.encode_piece)
+        each = [np.frombuffer(self.encode_piece(t or ""), "<u4") for t in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([len(x) for x in each])
+
+    def decode(self, ids: np.ndarray, chunk: int = 65_536) -> Iterator[str]:
+        """The text of the ids in pieces: tokens may end within a character, pieces don't."""
         machine = Utf8Machine()
-        return "".join([machine.feed(x) for x in self.decode(ids, chunk)]) + machine.close()
+        for i in range(0, len(ids), chunk):
+            yield machine.feed(gather(self.token, self.size, ids[i : i + chunk])[0].tobytes())
+        yield machine.close()
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    """One for each worker; kept between tasks."""
-    return Codec(path, pattern)
+    """One for each worker; kept between tasks of this operator."""
+    return solely(f"bpe {path} {pattern}", lambda: Codec(path, pattern))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -309,6 +337,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """df and a column ``out`` of array<int>; null and empty texts have no ids."""
+    lean(df.sparkSession)
     given = default_vocabulary()
     path, pattern = path or given[0], pattern or given[1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out) + f", `{out}` array<int>"
@@ -316,17 +345,17 @@ def encode_documents(df: DataFrame, text: str = "text", out: str = "ids", path:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in text_slices(batches, text):
-            parts = [np.frombuffer(own.encode(t or ""), "<u4").astype("i4") for t in b.column(text).to_pylist()]
-            ends = np.cumsum([0] + [len(p) for p in parts], dtype="i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, "i4")))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), ids], names=[*names, out])
+        for b in text_slices(batches, text, ENCODE_BYTES):
+            ids, ends = own.encode(b.column(text))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype("i4")), pa.array(ids.astype("i4")))
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists], names=[*names, out])
 
     return df.mapInArrow(run, schema)
 
 
 def decode_documents(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """df and the text of its ids; null ids decode as empty."""
+    lean(df.sparkSession)
     given = default_vocabulary()
     path, pattern = path or given[0], pattern or given[1]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out) + f", `{out}` string"
@@ -335,7 +364,7 @@ def decode_documents(df: DataFrame, ids: str = "ids", out: str = "decoded", path
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            texts = [own.text(np.array(x or [], "<u4").tobytes()) for x in b.column(ids).to_pylist()]
+            texts = ["".join(own.decode(np.array(x or [], "<u4"))) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, out])
 
     return df.mapInArrow(run, schema)
@@ -343,20 +372,21 @@ def decode_documents(df: DataFrame, ids: str = "ids", out: str = "decoded", path
 
 def encoded_digests(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Encodes and decodes each text where it is read; only digests leave the task."""
+    lean(df.sparkSession)
     given = default_vocabulary()
     path, pattern = path or given[0], pattern or given[1]
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
-        for b in text_slices(batches, text):
-            n, ids_sha, back_sha = [], [], []
-            for t in b.column(text).to_pylist():
-                ids, back = own.encode(t or ""), hashlib.sha256()
-                for piece in own.decode(ids):
-                    back.update(piece)
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
+        for b in text_slices(batches, text, ENCODE_BYTES):
+            ids, ends = own.encode(b.column(text))
+            n, ids_sha, back_sha = np.diff(ends, prepend=0), [], []
+            for x in np.split(ids, ends[:-1]):
+                back = hashlib.sha256()
+                for piece in own.decode(x):
+                    back.update(piece.encode())
+                ids_sha.append(hashlib.sha256(x.tobytes()).hexdigest())
                 back_sha.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
