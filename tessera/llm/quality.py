@@ -1,24 +1,26 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Word vectors.  Words are hashed to ``rows`` rows of a fixed matrix.  Each row has a
-sparse ternary index vector; a word's context vector is the sum of the index vectors
-of its neighbours at up to ``window`` places, over all documents.  Each task sums its
-own matrix, and the rows are added up by one aggregation; the matrix has the same
-size whatever the corpus, so it may be broadcast (rows x dims x 4 bytes).
+Word vectors.  Words, as they are spelled, are hashed to ``rows`` rows of a fixed
+matrix.  Each row has a sparse ternary index vector; a word's context vector is the sum
+of the index vectors of its neighbours at up to ``window`` places, over all documents.
+Each task sums its own matrix, and the rows are added up by one aggregation; the matrix
+has the same size whatever the corpus, so it may be broadcast (rows x dims x 4 bytes).
 
-Pooling.  A document is the mean and the spread of its words' context vectors and of
-their index vectors' signs, and of vectors of the words' shapes (which characters and
-which case), likewise hashed.  Nothing but the text goes in.
+Pooling.  A document is the mean and the spread of its words' context vectors, and the
+mean of the products of neighbouring words' vectors, component by component: repeated
+words have vectors that are alike.  Nothing but these vectors goes in.
 
 Network.  Standardised pooled vectors, one hidden layer of tanh units, a logistic
 output, trained in numpy on the driver with a bounded sample of labelled documents
-(``sample``, the first in the order of a hash of their id); a part of the sample is
-kept back to fit the temperature by which logits are divided.
-
-Cases: a null or empty text pools to zeros and gets a score as well; rows with a null
-label are not learned from; without labels of two kinds, the score is the share of
-label 1 (0.5 without any label); repeated rows are scored each; an empty table gives
-no rows; extra columns are ignored.
+(``sample`` ids, the first in the order of a hash of the id, one text for each); a part
+of the sample is kept back to fit the temperature by which logits are divided.
+
+Cases: a null or empty text pools to zeros and gets a score as well; a text of any
+length is pooled whole, in stretches; rows with a null label are not learned from; of
+rows that share an id the one with the least text hash is learned from; without labels
+of two kinds, the score is the share of label 1 (0.5 without any label); repeated rows
+are scored each; an empty table gives no rows; extra columns pass through ``scored``
+and are ignored by ``judged``.
 """
 
 from __future__ import annotations
@@ -31,17 +33,20 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from tessera.llm.common import text_slices
+from tessera.llm.common import lean, solely, text_slices
 
-ROWS = 8192
+ROWS = 32_768
 DIMS = 32
 NONZERO = 4
 WINDOW = 2
 SAMPLE = 8000
 HIDDEN = 24
 THRESHOLD = 0.3
-SHAPES = 64
+#: Bytes of text whose word pairs are summed at once, and words whose vectors are pooled at once; they bound a worker's memory.
+SUM_BYTES = 4_000_000
+STRETCH = 50_000
 
 
 def index_vectors(rows: int, dims: int, nonzero: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -51,38 +56,28 @@ def index_vectors(rows: int, dims: int, nonzero: int, seed: int = 7) -> tuple[np
     return places, rng.choice([-1.0, 1.0], (rows, nonzero)).astype("f4")
 
 
-def shape_of(word: bytes) -> int:
-    """A hash of the word's case, punctuation and length class."""
-    text = word.decode("utf-8", "replace")
-    letters = [c for c in text if c.isalpha()]
-    case = 0 if not letters else 1 if text.islower() else 2 if text.isupper() and len(letters) > 1 else 3
-    marks = len(text) - sum(c.isalnum() for c in text)
-    return zlib.crc32(f"{case}|{min(marks, 4)}|{any(c.isdigit() for c in text)}|{min(len(text), 12) // 4}".encode()) % SHAPES
-
-
 class Tokens:
-    """The words of a batch of texts: row of the matrix, shape, and document of each."""
+    """The words of a batch of texts, one after another: row of the matrix, and document of each."""
 
     def __init__(self, texts: pa.Array, rows: int):
-        words = [(t or b"").split() for t in pc.cast(texts, pa.binary()).to_pylist()]
-        self.count = np.array([len(w) for w in words], np.int64)
-        flat = pa.array([w for ws in words for w in ws], pa.binary())
-        coded = flat.dictionary_encode()
-        kinds = coded.dictionary.to_pylist()
-        at = coded.indices.to_numpy()
-        self.distinct = at
-        self.row = np.array([zlib.crc32(w.lower()) % rows for w in kinds], np.int64)[at] if kinds else np.zeros(0, np.int64)
-        self.shape = np.array([shape_of(w) for w in kinds], np.int64)[at] if kinds else np.zeros(0, np.int64)
-        self.doc = np.repeat(np.arange(len(words)), self.count)
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words, owner = lists.flatten(), pc.list_parent_indices(lists)
+        full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+        coded = words.filter(full).dictionary_encode()
+        kinds = [zlib.crc32(w) % rows for w in pc.cast(coded.dictionary, pa.binary()).to_numpy(zero_copy_only=False).tolist()]
+        self.row = np.array(kinds, np.int64)[coded.indices.to_numpy()] if kinds else np.zeros(0, np.int64)
+        self.doc = owner.filter(full).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.texts = len(texts)
 
 
 def context_vectors(docs: DataFrame, text: str = "text", rows: int = ROWS, dims: int = DIMS, window: int = WINDOW) -> np.ndarray:
     """The matrix of context vectors, each of length 1 (or 0 for rows that no word has)."""
 
     def sums(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solely(None)
         places, signs = index_vectors(rows, dims, NONZERO)
         total = np.zeros(rows * dims)
-        for b in text_slices(batches, text):
+        for b in text_slices(batches, text, SUM_BYTES):
             t = Tokens(b.column(text), rows)
             for d in range(1, window + 1):
                 same = np.flatnonzero(t.doc[d:] == t.doc[:-d]) if len(t.doc) > d else np.zeros(0, np.int64)
@@ -102,42 +97,24 @@ def context_vectors(docs: DataFrame, text: str = "text", rows: int = ROWS, dims:
 
 
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """One row for each text: means and spreads of its words' vectors, and how its words repeat."""
+    """One row for each text: mean and spread of its words' vectors, and mean product of neighbours."""
     rows, dims = vectors.shape
     t = Tokens(texts, rows)
-    n = len(t.count)
-    out = np.zeros((n, 2 * dims + dims + SHAPES + 3), np.float32)
-    if not len(t.doc):
-        return out
-    places, signs = index_vectors(rows, dims, NONZERO)
-    starts = np.cumsum(t.count) - t.count
-    full = np.flatnonzero(t.count)
-    per = np.maximum(t.count, 1)[:, None]
-    at = 0
-    while at < len(full):  # documents of about 100,000 words at once
-        to = at + 1
-        while to < len(full) and starts[full[to]] + t.count[full[to]] - starts[full[at]] <= 100_000:
-            to += 1
-        own = full[at:to]
-        lo, hi = starts[own[0]], starts[own[-1]] + t.count[own[-1]]
-        v = vectors[t.row[lo:hi]]
-        out[own, :dims] = np.add.reduceat(v, starts[own] - lo, axis=0)
-        out[own, dims : 2 * dims] = np.add.reduceat(v * v, starts[own] - lo, axis=0)
-        at = to
-    out[:, : 2 * dims] /= per
+    sums = np.zeros((t.texts, 3 * dims))
+    count = np.bincount(t.doc, minlength=t.texts)
+    for at in range(0, len(t.row), STRETCH):
+        doc, w = t.doc[at : at + STRETCH], vectors[t.row[at : at + STRETCH]]
+        before = np.arange(at - 1, at - 1 + len(doc))
+        product = w * vectors[t.row[before]]  # of the very first word: with the last, struck out below
+        product[t.doc[before] != doc] = 0
+        if at == 0:
+            product[0] = 0
+        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        for k, x in enumerate((w, w * w, product)):
+            sums[doc[first], k * dims : (k + 1) * dims] += np.add.reduceat(x, first, axis=0)
+    out = sums / np.maximum(count, 1)[:, None]
     out[:, dims : 2 * dims] = np.sqrt(np.maximum(0, out[:, dims : 2 * dims] - out[:, :dims] ** 2))
-    index = np.zeros(n * dims)
-    for k in range(NONZERO):
-        index += np.bincount(t.doc * dims + places[t.row, k], signs[t.row, k], n * dims)
-    out[:, 2 * dims : 3 * dims] = index.reshape(n, dims) / per
-    out[:, 3 * dims : 3 * dims + SHAPES] = np.bincount(t.doc * SHAPES + t.shape, minlength=n * SHAPES).reshape(n, SHAPES) / per
-    # how alike neighbouring words are: the same word again, and the same row among all words
-    again = np.zeros(len(t.doc))
-    again[1:] = (t.distinct[1:] == t.distinct[:-1]) & (t.doc[1:] == t.doc[:-1])
-    out[:, -3] = np.bincount(t.doc, again, n) / per[:, 0]
-    out[:, -2] = np.log1p(t.count)
-    out[:, -1] = t.count == 1
-    return out
+    return out.astype("f4")
 
 
 class Network:
@@ -195,6 +172,7 @@ def held_out(key):
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, vectors: np.ndarray | None = None) -> tuple[np.ndarray, Network]:
     """Word vectors from all docs, and a network from at most ``sample`` labelled ones."""
     spark = docs.sparkSession
+    lean(spark)
     vectors = context_vectors(docs, text) if vectors is None else vectors
     chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").where(~held_out(F.col("k"))).groupBy("k").agg(F.max("y").alias("y"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("sample"), "k"), "k").limit(sample)  # at most ``sample`` small rows: fit to broadcast
@@ -203,33 +181,37 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     def pool(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "t"):
             x = pooled(b.column("t"), shared.value)
-            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["k", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("y"), b.column("h"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))], names=["k", "y", "h", "x"])
 
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", "t")
-    rows = own.mapInArrow(pool, f"k {docs.schema[key].dataType.simpleString()}, y int, x array<float>").toArrow()
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("k", "y", F.xxhash64("t").alias("h"), "t")
+    made = own.mapInArrow(pool, f"k {docs.schema[key].dataType.simpleString()}, y int, h long, x array<float>")
+    rows = made.groupBy("k").agg(F.min(F.struct("h", "x", "y")).alias("r")).select("k", "r.x", "r.y").toArrow()  # at most ``sample`` rows
     order = np.argsort(np.array(rows["k"].to_pylist()), kind="stable") if rows.num_rows else []
     flat = rows["x"].combine_chunks().flatten().to_numpy() if rows.num_rows else np.zeros(0, "f4")
     x = flat.reshape(rows.num_rows, -1)[order] if rows.num_rows else np.zeros((0, 1), "f4")
     return vectors, Network(x, rows["y"].to_numpy()[order] if rows.num_rows else np.zeros(0))
 
 
-def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = THRESHOLD, sample: int = SAMPLE, out: str = "score") -> DataFrame:
-    """docs and a column ``out``: the calibrated probability of label 1.  A text is accepted from ``threshold`` on."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs, labels, key, text, label, sample))
-    names = [f.name for f in docs.schema if f.name != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out) + f", `{out}` double"
+def score_of(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE):
+    """A column: the calibrated probability of label 1 of each row's text.  Only the text goes to Python, and one number comes back."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, label, sample))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        solely(None)
         vectors, network = shared.value
-        for b in text_slices(batches, text):
-            score = network.score(pooled(b.column(text), vectors))
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(score)], names=[*names, out])
+        for texts in batches:
+            b = pa.RecordBatch.from_arrays([texts], names=["t"])
+            yield pa.array(np.concatenate([np.zeros(0), *(network.score(pooled(x.column("t"), vectors)) for x in text_slices([b], "t"))]))
+
+    return F.arrow_udf(scores, DoubleType())(F.col(text))
+
 
-    return docs.mapInArrow(run, schema)
+def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, out: str = "score") -> DataFrame:
+    """docs and a column ``out``, which replaces one of that name: the calibrated probability of label 1."""
+    return docs.withColumn(out, score_of(docs, labels, key, text, label, sample))
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The digest of the registered query: (doc_id, held_out, score, predicted)."""
-    got = scored(docs.select("doc_id", "text"), labels, threshold=threshold)
+    got = scored(docs.select("doc_id", "text"), labels)
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
