@@ -37,29 +37,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import TwoGenerations, connected_components, discard, mix64, runs, save, text_slices
+from tessera.llm.common import connected_components, discard, lean, mix64, runs, save, solely, text_slices
 
 K = 4
 RECALL = 0.9985
 BLOCK = 1024
-WORDS = 200_000
 
-_memo: TwoGenerations | None = None
 
-
-def word_hashes() -> TwoGenerations:
-    global _memo
-    if _memo is None:
-        _memo = TwoGenerations(xxhash.xxh3_64_intdigest, WORDS)
-    return _memo
-
-
-def shingle_sets(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingle hashes of each text in ascending order, one after another, and how many each has."""
-    get, out = word_hashes().__getitem__, []
-    for t in texts:
-        words = t.lower().split()
-        h = np.fromiter(map(get, words), np.uint64, len(words))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, owner = lists.flatten(), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+    coded = pc.cast(words.filter(full), pa.binary()).dictionary_encode()
+    kinds = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, kinds), np.uint64, len(kinds))[coded.indices.to_numpy()]
+    counts = np.bincount(owner.filter(full).to_numpy(zero_copy_only=False), minlength=len(texts))
+    out = []
+    for h in np.split(hashes, np.cumsum(counts)[:-1]):
         n = len(h)
         if n:
             size = min(width, n)
@@ -100,8 +95,9 @@ def _signatures(docs: DataFrame, width: int, m: int) -> DataFrame:
     """(doc, s1, s2, n, bands): s1, s2 hash the set; null ids, and documents without words, are left out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solely(None)
         for b in text_slices(batches, "text"):
-            flat, counts = shingle_sets(pc.cast(b.column("text"), pa.binary()).to_pylist(), width)
+            flat, counts = shingle_sets(b.column("text"), width)
             has = counts > 0
             if not has.any():
                 continue
@@ -134,7 +130,7 @@ def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple
     """Links of one group that span what its candidates link; rows of the same block twice over where i = j."""
     node, own = group["node"].to_numpy(), group["own"].to_numpy()
     i, j = group["i"][0].as_py(), group["j"][0].as_py()
-    flat, counts = shingle_sets(pc.cast(group["text"], pa.binary()).to_pylist(), width)
+    flat, counts = shingle_sets(group["text"].combine_chunks(), width)
     starts = np.cumsum(counts) - counts
     words, at = np.unique(flat, return_inverse=True)  # shingles as numbers from 0, for this group
     sets = np.split(at, starts[1:])
@@ -171,6 +167,7 @@ def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row: links are 'den * intersection >= num * union'."""
     spark = docs.sparkSession
+    lean(spark)
     m = bands_for(num, den, recall=recall)
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = save(_signatures(texts, width, m), "signatures")
@@ -184,6 +181,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     sent = sent.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "bands", "text")
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solely(None)
         for g in runs(batches, "component", "i", "j"):
             a, b = _confirmed(g, m, width, num, den)
             if len(a):
@@ -192,10 +190,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = sent.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(confirm, "a long, b long")
     components = connected_components(links)
-    discard(clusters)
     known = classes.join(components, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     # rows that share an id: their sets' components meet in the smallest, and the row reports the largest set
     per_doc = signed.select("doc", "s1", "s2", "n").join(known, ["s1", "s2"]).groupBy("doc").agg(F.max("n").alias("n"), F.min("component").alias("component"))
+    per_doc = save(per_doc, "components")
+    discard(signed, classes, clusters, components)
     out = texts.select("doc").join(per_doc, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))
