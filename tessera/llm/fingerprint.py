@@ -12,7 +12,8 @@ fingerprint costs one sort of an array within the row; nothing is exploded.
 
 Cases: null and empty texts, and texts of white space, have the fingerprint ''
 (likeness 1 to each other, 0 to others); with fewer words than a shingle has, the
-whole sequence is the one shingle.
+whole sequence is the one shingle; a text of any length is fingerprinted whole; repeated
+rows get a fingerprint each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import save
+from tessera.llm.common import discard, save
 
 BINS = 256
 BITS = 4
@@ -84,34 +85,53 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     The edited text: the last floor(n/4) of n code points give way to as many first
     ones (or all) of the next document by ascending key, after the last the first.
 
-    The order comes from keys and lengths alone; of a text only the part that the
-    document before it needs is sent there.  Rows that share a key have the same next
-    document, and the one with the least text hash stands for them as another's next.
-    A row without a key has no next: its edited text is cut and near_next is null.
+    The order comes from keys and lengths alone.  Texts are shuffled by key once: the
+    join that takes heads from them and the join that brings heads to them read the same
+    exchange.  Rows that share a key have the same next document, and the one with the
+    least text hash stands for them as another's next.  A row without a key has no next:
+    its edited text is cut and its near_next is 0.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    keyed, keyless = docs.where("k is not null"), docs.where("k is null")
     made = save(with_fingerprint(docs.select("k", F.length("t").cast("long").alias("n"), F.xxhash64("t").alias("th"), F.col("t")), "t", "packed", width).drop("t"), "fingerprints")
     ids = made.where("k is not null").groupBy("k").agg(F.max("n").alias("most"), F.min(F.struct("th", "packed")).alias("own"), F.count(F.lit(1)).alias("c"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     at = F.monotonically_increasing_id()
-    ranged = save(ids.repartitionByRange(parts, "k").sortWithinPartitions("k").withColumn("at", at).select("k", "most", "own", "c", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "order")
+    ranged = ids.repartitionByRange(parts, "k").sortWithinPartitions("k").withColumn("at", at)
+    ranged = save(ranged.select("k", "most", "own", "c", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("at")), "order")
     # one row for each task of the sort
-    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     total, most_rows = ranged.agg(F.count(F.lit(1)), F.max("c")).first()
+    repeated = (most_rows or 0) > 1 or made.where("k is null").limit(1).count()
     ranked = ranged.join(F.broadcast(before), "part").select("k", "most", "own", (F.col("before") + F.col("at")).alias("rank"))
     ahead = ranked.select(F.col("k").alias("prev"), "most", F.col("own").alias("prev_own"), F.pmod(F.col("rank") + 1, F.lit(max(total, 1))).alias("rank"))
-    pairs = save(ranked.select("k", "own", "rank").join(ahead, "rank").select("k", F.col("own.th").alias("th"), F.col("own.packed").alias("next_packed"), "prev", (F.col("most") / 4).cast("long").alias("need"), F.col("prev_own.th").alias("prev_th"), F.col("prev_own.packed").alias("prev_packed")), "pairs")
-    pieces = docs.join(pairs, "k").where(F.xxhash64("t") == F.col("th")).select(F.col("prev").alias("k"), F.expr("left(t, int(need))").alias("piece"), "next_packed", "prev_th", "prev_packed")
+    pairs = ranked.select("k", "own", "rank").join(ahead, "rank")
+    pairs = save(pairs.select("k", F.col("own.th").alias("th"), F.col("own.packed").alias("next_packed"), "prev", (F.col("most") / 4).cast("long").alias("need"), F.col("prev_own.th").alias("prev_th"), F.col("prev_own.packed").alias("prev_packed")), "pairs")
+    discard(made, ranged)
+    heads = keyed.join(pairs, "k").where(F.xxhash64("t") == F.col("th"))
+    heads = heads.select(F.col("prev").alias("k"), F.expr("left(t, int(need))").alias("piece"), "next_packed", "prev_th", "prev_packed")
+    given = ("piece", "next_packed", "prev_th", "prev_packed")
     if (most_rows or 0) > 1:  # equal rows that share a key
-        pieces = pieces.groupBy("k").agg(*[F.first(c).alias(c) for c in ("piece", "next_packed", "prev_th", "prev_packed")])
-    both = docs.join(pieces, "k", "left").withColumn("n", F.length("t"))
+        heads = heads.groupBy("k").agg(*[F.first(c).alias(c) for c in given])
+    none = [F.lit(None).cast(heads.schema[c].dataType).alias(c) for c in given]
+    both = keyed.join(heads, "k", "left").unionByName(keyless.select("*", *none)).withColumn("n", F.length("t"))
     own_known = F.xxhash64("t") == F.col("prev_th")
-    both = both.select("k", F.col("n").cast("long").alias("n"), F.expr("concat(left(t, n - n div 4), left(coalesce(piece, ''), int(n div 4)))").alias("edited"), "next_packed", F.when(own_known, F.col("prev_packed")).alias("known"), F.when(own_known, F.lit(None)).otherwise(F.col("t")).alias("other"))
+    edited = F.expr("concat(left(t, n - n div 4), left(coalesce(piece, ''), int(n div 4)))")
+    both = both.select("k", F.col("n").cast("long").alias("n"), edited.alias("edited"), "next_packed", F.when(own_known, F.col("prev_packed")).alias("known"), F.when(own_known, F.lit(None)).otherwise(F.col("t")).alias("other"))
     both = both.select("k", "n", "edited", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), "next_packed", "known", "other")
     both = with_fingerprint(both, "edited", "edited_packed", width).drop("edited")
-    if (most_rows or 0) > 1 or made.where("k is null").limit(1).count():  # only such rows' own fingerprints are not known yet
+    if repeated:  # only such rows' own fingerprints are not known yet
         both = with_fingerprint(both, "other", "other_packed", width).withColumn("packed", F.coalesce("known", "other_packed"))
     else:
         both = both.withColumnRenamed("known", "packed")
-    return both.select(F.col("k").alias(key), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"), as_text(F.col("packed")).alias("fingerprint"), as_text(F.col("edited_packed")).alias("edited_fingerprint"), likeness("packed", "edited_packed").alias("near_edited"), F.when(F.col("next_packed").isNotNull(), likeness("packed", "next_packed")).alias("near_next"))
+    return both.select(
+        F.col("k").alias(key),
+        F.col("n").alias("n_chars"),
+        F.col("sha").alias("edited_sha256"),
+        as_text(F.col("packed")).alias("fingerprint"),
+        as_text(F.col("edited_packed")).alias("edited_fingerprint"),
+        likeness("packed", "edited_packed").alias("near_edited"),
+        F.when(F.col("next_packed").isNull(), 0.0).otherwise(likeness("packed", "next_packed")).alias("near_next"),
+    )
