@@ -10,8 +10,8 @@ and of look-alikes (numbers, addresses, hashes of commits, identifiers, placehol
 long words), and others may be given.
 
 Cases: null and empty texts have no findings; a text of any length is scanned whole;
-repeated rows are scanned each; an empty table gives no rows; extra columns pass
-through ``redact``.
+repeated rows are scanned each; an empty table gives no rows; extra columns, whatever
+their names, pass through ``redact``.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import positional
+
 KEYWORDS = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|apikey|access[_-]?key|private[_-]?key|credential|auth"
 #: Between a key word and its value: closing quotes or brackets, an assignment, an opening quote; white space in runs of up to 32.
 ASSIGNED = r"[\\\"'`\])}]{0,4}\s{0,32}(?:={1,3}>?|:=?)\s{0,32}\\?[\"'`]?"
@@ -142,13 +144,18 @@ def findings(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD, model=None) -> DataFrame:
-    """docs, the secrets in their texts replaced by ``mark``; all rows stay.  A key may be null or repeated."""
-    secrets = findings(docs, key, text, threshold, model).where("is_secret").groupBy("th", F.col(key).alias("_k")).agg(F.collect_set("start").alias("__s_starts"), F.collect_set("value").alias("__s_values"))
-    names = [f"`{c}`" for c in docs.columns]
-    joined = docs.withColumn("__s_th", F.xxhash64(text)).alias("d").join(secrets.alias("s"), (F.col("__s_th") == F.col("th")) & F.col(f"d.{key}").eqNullSafe(F.col("_k")), "left")
-    cut = joined.select(*[F.col(f"d.{c}").alias(c.strip("`")) for c in names], "__s_values", F.when(F.col("__s_values").isNotNull(), F.regexp_extract_all(F.col(f"d.{text}"), F.lit(CANDIDATE), F.lit(0))).alias("__s_found"), F.when(F.col("__s_values").isNotNull(), F.split(F.col(f"d.{text}"), CANDIDATE, -1)).alias("__s_between"))
+    """docs, the secrets in their texts replaced by ``mark``; all rows stay.  A key may be null or repeated.
+
+    A value that is a secret at one place of a text is replaced wherever it is a candidate in it.
+    """
+    d, names = positional(docs), docs.columns
+    k, t = F.col(f"_{names.index(key)}"), F.col(f"_{names.index(text)}")
+    secrets = findings(docs, key, text, threshold, model).where("is_secret").groupBy(F.col("th").alias("__s_hash"), F.col(key).alias("__s_key")).agg(F.collect_set("value").alias("__s_values"))
+    joined = d.withColumn("__s_th", F.xxhash64(t)).join(secrets, (F.col("__s_th") == F.col("__s_hash")) & k.eqNullSafe(F.col("__s_key")), "left")
+    has = F.col("__s_values").isNotNull()
+    cut = joined.withColumn("__s_found", F.when(has, F.regexp_extract_all(t, F.lit(CANDIDATE), F.lit(0)))).withColumn("__s_between", F.when(has, F.split(t, CANDIDATE, -1)))
     clean = F.expr(f"array_join(transform(__s_between, (b, i) -> concat(b, if(i >= size(__s_found), '', if(array_contains(__s_values, __s_found[i]), '{mark}', __s_found[i])))), '')")
-    return cut.withColumn(text, F.when(F.col("__s_values").isNotNull(), clean).otherwise(F.col(f"`{text}`"))).select(*names)
+    return cut.select(*[F.when(has, clean).otherwise(t).alias(c) if c == text else F.col(f"_{i}").alias(c) for i, c in enumerate(names)])
 
 
 def scan_digests(docs: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, mix64, runs, save, text_slices
+from tessera.llm.common import discard, lean, mix64, runs, save, text_slices
 
 LENGTH = 400
 BATCH_BYTES = 2_000_000
@@ -329,6 +329,7 @@ def _by_halving(spans: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (k, th, text) -> (k, th, lo, hi): byte spans that strings found elsewhere cover; they may overlap."""
+    lean(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     anchored = save(_anchored(docs, length), "anchors")
     kinds = anchored.groupBy("key", "h1", "h2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("k", "th", "anchor", "first", (F.col("last") + length).alias("last"))).alias("one"))
