@@ -110,7 +110,8 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     pairs = ranked.select("k", "own", "rank").join(ahead, "rank")
     pairs = save(pairs.select("k", F.col("own.th").alias("th"), F.col("own.packed").alias("next_packed"), "prev", (F.col("most") / 4).cast("long").alias("need"), F.col("prev_own.th").alias("prev_th"), F.col("prev_own.packed").alias("prev_packed")), "pairs")
     discard(made, ranged)
-    heads = keyed.join(pairs, "k").where(F.xxhash64("t") == F.col("th"))
+    # written so that the hash is no join key: the exchange is by k alone, as in the other join
+    heads = keyed.join(pairs, "k").where(F.xxhash64("t").bitwiseXOR(F.col("th")) == 0)
     heads = heads.select(F.col("prev").alias("k"), F.expr("left(t, int(need))").alias("piece"), "next_packed", "prev_th", "prev_packed")
     given = ("piece", "next_packed", "prev_th", "prev_packed")
     if (most_rows or 0) > 1:  # equal rows that share a key
