@@ -1,16 +1,22 @@
-"""Tables with a primary key: declared schema, unsealed log, sealed snapshots, and one manifest a table.
-
-A table is a folder: ``snapshot-N`` folders of Parquet sorted by key, ``log`` as
-append-only Parquet of (seq, op, columns), and ``manifest.json`` naming the schema, the
-live snapshot and the sequence number it is sealed to.  A manifest is replaced last,
-so a seal that dies leaves the table as it was, and sealing again changes nothing.
-Manifests are written through Hadoop's file system, so folders may be anywhere.
+"""Tables with a primary key: declared schema, unsealed log, sealed snapshots, and numbered manifests.
+
+A table is a folder: ``snapshot-N`` folders of Parquet sorted by key, ``log`` folders of
+append-only Parquet of (seq, op, columns), and ``manifest-N.json`` files naming the
+schema, the live snapshot, the sequence number it is sealed to, and the log folders that
+are committed.  Manifests are never replaced: the next number is created, which only one
+writer can, and the newest whole one holds.  So a writer that dies leaves the table as
+it was, what it wrote is never read, and of two writers at once one gets a ``Conflict``.
+A log folder may wait for its transaction: it counts once ``_transactions`` under the
+store says that the transaction is committed (see transactions.py).  Everything goes
+through Hadoop's file system, so folders may be anywhere.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import re
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +29,50 @@ from tessera.sources import changelog
 _NAME = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
 
+#: Manifests kept besides the newest, and milliseconds after which a manifest that was begun and not ended is passed over.
+KEPT, LEASE_MS = 8, 60_000
+
+
 class UniqueViolation(ValueError):
     pass
 
 
+class Conflict(RuntimeError):
+    """Another writer was first; nothing was changed."""
+
+
+def file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def create_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Writes a small file unless there is one; whether it did."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, at = file_system(spark, path)
+    try:
+        stream = fs.create(at, False)
+    except Py4JJavaError:
+        if fs.exists(at):
+            return False
+        raise
+    stream.write(bytearray(data))
+    stream.close()
+    return True
+
+
+def read_small(spark: SparkSession, path: str) -> bytes | None:
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
 class Table:
     def __init__(self, store: TableStore, name: str):
         self.store, self.name, self.spark = store, name, store.spark
@@ -34,30 +80,47 @@ class Table:
 
     # -- manifest
     def _file(self, leaf: str):
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{leaf}")
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+        return file_system(self.spark, f"{self.path}/{leaf}")
+
+    def _numbers(self) -> list[tuple[int, int]]:
+        """(number, time of change) of the manifests, newest first."""
+        fs, at = file_system(self.spark, self.path)
+        if not fs.exists(at):
+            return []
+        found = [(x.getPath().getName(), x.getModificationTime()) for x in fs.listStatus(at)]
+        return sorted(((int(m[1]), t) for n, t in found if (m := re.fullmatch(r"manifest-(\d+)\.json", n))), reverse=True)
+
+    def _newest(self) -> dict | None:
+        for n, _ in self._numbers():
+            with contextlib.suppress(ValueError):  # begun and not ended
+                return json.loads(read_small(self.spark, f"{self.path}/manifest-{n:012d}.json") or b"") | {"number": n}
+        return None
 
     @property
     def manifest(self) -> dict:
-        fs, at = self._file("manifest.json")
-        stream = fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        if (m := self._newest()) is None:
+            raise KeyError(self.name)
+        return m
 
     def _publish(self, manifest: dict) -> None:
-        fs, at = self._file("manifest.json")
-        _, new = self._file(f"manifest-{uuid.uuid4().hex}.tmp")
-        stream = fs.create(new, True)
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        fs.delete(at, False)
-        fs.rename(new, at)
+        """The manifest after number ``manifest["number"]``; a Conflict if there is one already."""
+        numbers = self._numbers()
+        top, changed = numbers[0] if numbers else (0, 0)
+        base = manifest.get("number", 0)
+        if top != base and (self._newest() or {"number": 0})["number"] != base:
+            raise Conflict(self.name)
+        if top != base and time.time() * 1000 - changed < LEASE_MS:
+            raise Conflict(self.name)  # another writer is at it
+        body = {k: v for k, v in manifest.items() if k != "number"}
+        if not create_once(self.spark, f"{self.path}/manifest-{top + 1:012d}.json", json.dumps(body).encode()):
+            raise Conflict(self.name)
+        manifest["number"] = top + 1
+        for n, _ in numbers[KEPT:]:
+            fs, at = self._file(f"manifest-{n:012d}.json")
+            fs.delete(at, False)
 
     def exists(self) -> bool:
-        fs, at = self._file("manifest.json")
-        return fs.exists(at)
+        return self._newest() is not None
 
     # -- schema
     @property
@@ -100,45 +163,62 @@ class Table:
     def _stored(self, df: DataFrame) -> DataFrame:
         return df.select(*[F.col(c["name"]).alias(c["stored"]) for c in self.manifest["columns"]], *[c for c in ("seq", "op") if c in df.columns])
 
-    def _read(self, path: str, more: str = "") -> DataFrame:
-        columns = self.manifest["columns"]
-        schema = ", ".join([f"`{c['stored']}` {c['spark']}" for c in columns]) + more
-        df = self.spark.read.schema(schema).parquet(path)
-        return df.select(*[F.col(f"`{c['stored']}`").alias(c["name"]) for c in columns], *(["seq", "op"] if more else []))
-
-    # -- reads
-    def snapshot(self) -> DataFrame:
-        m = self.manifest
-        return self._read(f"{self.path}/{m['snapshot']}") if m["snapshot"] else self.spark.createDataFrame([], self.schema)
-
-    def log(self, sealed: int | None = None) -> DataFrame | None:
-        fs, at = self._file("log")
-        if not fs.exists(at):
+    def _read(self, paths: list[str], m: dict, log: bool = False) -> DataFrame:
+        schema = ", ".join([f"`{c['stored']}` {c['spark']}" for c in m["columns"]] + (["seq bigint", "op string", "base bigint", "write string"] if log else []))
+        df = self.spark.read.schema(schema).option("basePath", f"{self.path}/log" if log else paths[0]).parquet(*paths)
+        return df.select(*[F.col(f"`{c['stored']}`").alias(c["name"]) for c in m["columns"]], *([(F.col("base") + F.col("seq")).alias("seq"), "op"] if log else []))
+
+    # -- reads: of the newest manifest, or of one that the caller holds on to
+    def snapshot(self, m: dict | None = None) -> DataFrame:
+        m = m or self.manifest
+        return self._read([f"{self.path}/{m['snapshot']}"], m) if m["snapshot"] else self.spark.createDataFrame([], self.schema)
+
+    def log(self, sealed: int | None = None, m: dict | None = None) -> DataFrame | None:
+        """Committed entries after ``sealed`` (what the snapshot holds); None where there are none."""
+        m = m or self.manifest
+        entries = [e for e in m["logs"] if not e.get("tx") or self.store.outcome(e["tx"]) == "committed"]
+        if not entries:
             return None
-        return self._read(f"{self.path}/log", ", seq bigint, op string").where(F.col("seq") > F.lit(self.manifest["sealed_seq"] if sealed is None else sealed))
+        return self._read([f"{self.path}/log/{e['path']}" for e in entries], m, True).where(F.col("seq") > F.lit(m["sealed_seq"] if sealed is None else sealed))
 
-    def read(self, min_seq: int = 0) -> DataFrame:
+    def read(self, min_seq: int = 0, m: dict | None = None) -> DataFrame:
         """Snapshot and log merged; a caller that needs ``min_seq`` gets an error where it is not committed."""
-        if min_seq > self.manifest["seq"]:
-            raise ValueError(f"sequence {min_seq} is not committed; the table is at {self.manifest['seq']}")
-        log = self.log()
-        return self.snapshot() if log is None else changelog.merge(self.snapshot(), log, self.keys)
+        m = m or self.manifest
+        if min_seq > m["seq"]:
+            raise ValueError(f"sequence {min_seq} is not committed; the table is at {m['seq']}")
+        log = self.log(m=m)
+        return self.snapshot(m) if log is None else changelog.merge(self.snapshot(m), log, m["key"])
 
     # -- writes
-    def _append(self, rows: DataFrame, op: str) -> int:
+    def _settled(self) -> dict:
+        """The newest manifest for a writer: transactions that are not over are aborted, so that nothing appears behind its back."""
         m = self.manifest
-        numbered = rows.withColumn("op", F.lit(op)).withColumn("seq", F.monotonically_increasing_id())
-        staged = f"{self.path}/staged-{uuid.uuid4().hex}"
-        self._stored(numbered).write.parquet(staged)
-        top = self.spark.read.parquet(staged).agg(F.count(F.lit(1)), F.max("seq")).first()
-        if top[0]:
-            shifted = self.spark.read.parquet(staged).withColumn("seq", F.col("seq") + m["seq"] + 1)
-            shifted.write.mode("append").parquet(f"{self.path}/log")
-            m["seq"] += top[1] + 1
-            self._publish(m)
-        fs, at = self._file(staged.rsplit("/", 1)[1])
-        fs.delete(at, True)
-        return top[0]
+        logs = []
+        for e in m["logs"]:
+            if not e.get("tx"):
+                logs.append(e)
+            elif self.store.settle(e["tx"], "aborted") == "committed":
+                logs.append({k: v for k, v in e.items() if k != "tx"})
+        return m | {"logs": logs}
+
+    def _stage(self, rows: DataFrame, m: dict, tx: str | None = None) -> tuple[int, dict]:
+        """Writes rows (columns and op) to a log folder that no manifest names yet; how many, and the manifest that would."""
+        base, write = m["seq"], uuid.uuid4().hex
+        numbered = rows.withColumn("seq", F.monotonically_increasing_id() + 1)
+        path = f"base={base}/write={write}"
+        self._stored(numbered).write.parquet(f"{self.path}/log/{path}")
+        n, top = self.spark.read.schema("seq bigint").parquet(f"{self.path}/log/{path}").agg(F.count(F.lit(1)), F.max("seq")).first()
+        if not n:
+            fs, at = self._file(f"log/{path}")
+            fs.delete(at, True)
+            return 0, m
+        return n, m | {"seq": base + top, "logs": [*m["logs"], {"path": path, "top": base + top} | ({"tx": tx} if tx else {})]}
+
+    def _append(self, rows: DataFrame, op: str, m: dict | None = None) -> int:
+        n, new = self._stage(rows.withColumn("op", F.lit(op)), m or self._settled())
+        if n:
+            self._publish(new)
+        return n
 
     def _check(self, rows: DataFrame, others: DataFrame | None) -> None:
         for name, cols in [("primary key", self.keys), *self.manifest["unique"].items()]:
@@ -149,9 +229,9 @@ class Table:
                 raise UniqueViolation(f"UNIQUE_VIOLATION: {name}")
 
     def insert(self, rows: DataFrame, upsert: bool = False) -> int:
-        rows = self._conform(rows)
-        self._check(rows, None if upsert else self.read())
-        return self._append(rows, changelog.UPSERT)
+        rows, m = self._conform(rows), self._settled()
+        self._check(rows, None if upsert else self.read(m=m))
+        return self._append(rows, changelog.UPSERT, m)
 
     def insert_returning(self, rows: DataFrame) -> DataFrame:
         """The rows as they were stored, by their keys."""
@@ -159,32 +239,38 @@ class Table:
         return self.read().join(self._conform(rows).select(*self.keys), self.keys, "left_semi")
 
     def update_returning(self, assignments: dict[str, object], where: str | None = None) -> DataFrame:
-        """What the condition finds after the update."""
-        self.update(assignments, where)
-        return self.read().where(where) if where else self.read()
+        """The updated rows as they are afterwards, read back from the log folder of the update."""
+        m = self._settled()
+        self.update(assignments, where, m)
+        return self._written(m["seq"])
 
     def delete_returning(self, where: str | None = None) -> DataFrame:
-        """What the condition found before the delete."""
-        rows = self.read().where(where) if where else self.read()
-        kept = self.spark.createDataFrame(rows.collect(), rows.schema)  # the answer to the caller
-        self.delete(where)
-        return kept
+        """The deleted rows as they were, read back from the log folder of the delete."""
+        m = self._settled()
+        self.delete(where, m)
+        return self._written(m["seq"])
+
+    def _written(self, after: int) -> DataFrame:
+        log = self.log(after)
+        return (self.snapshot().limit(0) if log is None else log.drop("seq", "op")).select(*self.schema.names)
 
-    def update(self, assignments: dict[str, object], where=None) -> int:
+    def update(self, assignments: dict[str, object], where=None, m: dict | None = None) -> int:
         if set(assignments) & set(self.keys):
             raise ValueError("a key column can't be updated")
-        rows = self.read() if where is None else self.read().where(where)
+        m = m or self._settled()
+        rows = self.read(m=m) if where is None else self.read(m=m).where(where)
         new = rows.withColumns({c: (v if hasattr(v, "_jc") else F.expr(v) if isinstance(v, str) else F.lit(v)) for c, v in assignments.items()})
-        return self._append(self._conform(new), changelog.UPSERT)
+        return self._append(self._conform(new), changelog.UPSERT, m)
 
-    def delete(self, where=None) -> int:
-        rows = self.read()
-        return self._append(rows if where is None else rows.where(where), changelog.DELETE)
+    def delete(self, where=None, m: dict | None = None) -> int:
+        m = m or self._settled()
+        rows = self.read(m=m)
+        return self._append(rows if where is None else rows.where(where), changelog.DELETE, m)
 
     def create_unique_index(self, name: str, columns: list[str]) -> None:
-        m = self.manifest
+        m = self._settled()
         m["unique"][name] = columns
-        bad = self.read().where(" and ".join(f"`{c}` is not null" for c in columns)).groupBy(*columns).count().where("count > 1").limit(1).count()
+        bad = self.read(m=m).where(" and ".join(f"`{c}` is not null" for c in columns)).groupBy(*columns).count().where("count > 1").limit(1).count()
         if bad:
             raise UniqueViolation(f"UNIQUE_VIOLATION: {name}")
         self._publish(m)
@@ -192,18 +278,18 @@ class Table:
     # -- sealing
     def seal(self, up_to: int | None = None) -> int:
         """A new snapshot of everything committed (or up to a sequence number); returns what it is sealed to."""
-        m = self.manifest
+        m = self._settled()
         target = m["seq"] if up_to is None else min(up_to, m["seq"])
         if target <= m["sealed_seq"] and m["snapshot"]:
             return m["sealed_seq"]
-        log = self.log()
-        current = self.snapshot() if log is None else changelog.merge(self.snapshot(), log.where(F.col("seq") <= target), self.keys)
+        log = self.log(m=m)
+        current = self.snapshot(m) if log is None else changelog.merge(self.snapshot(m), log.where(F.col("seq") <= target), m["key"])
         name = f"snapshot-{target}-{uuid.uuid4().hex[:8]}"
         parts = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         stored = {c["name"]: c["stored"] for c in m["columns"]}
         order = [stored[k] for k in m["key"]]
         self._stored(current).repartitionByRange(parts, *[F.col(f"`{c}`") for c in order]).sortWithinPartitions(*[F.col(f"`{c}`") for c in order]).write.parquet(f"{self.path}/{name}")
-        self._publish(m | {"snapshot": name, "sealed_seq": target})
+        self._publish(m | {"snapshot": name, "sealed_seq": target, "logs": [e for e in m["logs"] if e["top"] > target]})
         return target
 
     def compact(self, target_bytes: int = 128 << 20) -> int:
@@ -228,6 +314,15 @@ class TableStore:
         self.spark, self.tenant = spark, tenant
         self.folder = f"{folder.rstrip('/')}/{'default' if tenant == '_' else tenant}"
 
+    def outcome(self, tx: str) -> str | None:
+        """'committed', 'aborted', or None while a transaction is not over."""
+        return (read_small(self.spark, f"{self.folder}/_transactions/{tx}") or b"").decode() or None
+
+    def settle(self, tx: str, outcome: str) -> str:
+        """Ends a transaction unless it is over; how it ended.  The file is created once, whoever asks."""
+        create_once(self.spark, f"{self.folder}/_transactions/{tx}", outcome.encode())
+        return self.outcome(tx) or "aborted"
+
     def create(self, name: str, columns: dict[str, str], key: list[str], if_not_exists: bool = False) -> Table:
         for n in (name, *columns):
             if not _NAME.match(n):
@@ -240,7 +335,7 @@ class TableStore:
                 return t
             raise ValueError(f"table {name} exists")
         made = [{"name": n, "stored": f"{n}-{k}", "type": types.normalize(x)[0], "spark": types.normalize(x)[1], "default": None} for k, (n, x) in enumerate(columns.items())]
-        t._publish({"columns": made, "key": key, "unique": {}, "seq": 0, "sealed_seq": 0, "snapshot": None, "next_slot": len(made)})
+        t._publish({"columns": made, "key": key, "unique": {}, "seq": 0, "sealed_seq": 0, "snapshot": None, "logs": [], "next_slot": len(made)})
         return t
 
     def create_as(self, name: str, df: DataFrame, key: list[str]) -> Table:
@@ -258,7 +353,7 @@ class TableStore:
     def names(self) -> list[str]:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+        return sorted(n for x in fs.listStatus(at) if not (n := x.getPath().getName()).startswith("_")) if fs.exists(at) else []
 
     def drop(self, name: str) -> None:
         fs, at = self.table(name)._file("")

@@ -1,16 +1,20 @@
-"""Transactions over a table store: changes are buffered, read back through the transaction, and published together."""
+"""Transactions over a table store: changes are buffered, read back through the transaction, and published together.
+
+A transaction holds on to each table's manifest of its first touch, and reads that.  To
+commit, it writes a log folder and a manifest for each table it changed, all marked with
+its id, and then one file that says that the id is committed: only from there do
+readers see any of it.  A writer that meets an unfinished transaction aborts it.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources import changelog
-from tessera.sources.table_store import Table, TableStore
-
-
-class Conflict(RuntimeError):
-    pass
+from tessera.sources.table_store import Conflict, Table, TableStore
 
 
 class Transaction:
@@ -30,12 +34,13 @@ class Transaction:
         if not self.open:
             raise RuntimeError("the transaction is over")
         t = self.store.table(name)
-        self.seen.setdefault(name, t.manifest["seq"])
+        if name not in self.seen:
+            self.seen[name] = t._settled()
         return t
 
     def read(self, name: str) -> DataFrame:
         t = self._table(name)
-        df = t.read()
+        df = t.read(m=self.seen[name])
         for k, (op, rows) in enumerate(self.changes.get(name, [])):
             df = changelog.merge(df, rows.withColumn("op", F.lit(op)).withColumn("seq", F.lit(k).cast("long")), t.keys)
         return df
@@ -59,21 +64,27 @@ class Transaction:
         self.changes.setdefault(name, []).append((changelog.DELETE, rows))
 
     def commit(self) -> dict[str, int]:
-        """Rows changed a table; another writer's commit since the first touch is a conflict, and nothing is written."""
-        for name, seq in self.seen.items():
-            if self.store.table(name).manifest["seq"] != seq:
+        """Rows changed a table; another writer's commit since the first touch is a Conflict, and nothing is changed."""
+        for name, m in self.seen.items():
+            if self.store.table(name).manifest["number"] != m["number"]:
                 raise Conflict(name)
-        done = {}
+        self.open, tx, done, staged = False, uuid.uuid4().hex, {}, []
         for name, changes in self.changes.items():
-            t = self.store.table(name)
-            net = None
+            t, net = self.store.table(name), None
             for k, (op, rows) in enumerate(changes):
                 one = t._conform(rows).withColumn("op", F.lit(op)).withColumn("seq", F.lit(k).cast("long"))
                 net = one if net is None else net.unionByName(one)
-            last = changelog.collapse(net, t.keys).cache()
-            done[name] = t._append(last.where(F.col("op") == changelog.UPSERT).drop("op", "seq"), changelog.UPSERT) + t._append(last.where(F.col("op") == changelog.DELETE).drop("op", "seq"), changelog.DELETE)
-            last.unpersist()
-        self.open = False
+            done[name], new = t._stage(changelog.collapse(net, t.keys).drop("seq"), self.seen[name], tx)
+            if done[name]:
+                staged.append((t, new))
+        try:
+            for t, new in staged:
+                t._publish(new)  # not seen by readers yet
+        except Conflict:
+            self.store.settle(tx, "aborted")
+            raise
+        if staged and self.store.settle(tx, "committed") != "committed":
+            raise Conflict(", ".join(t.name for t, _ in staged))
         return done
 
     def rollback(self) -> None:

@@ -1,12 +1,13 @@
 """The seal as a stream: log files in, snapshots out, each batch once.
 
-State is the snapshot and the sequence number it is sealed to, in one manifest file
-that is replaced last.  A batch that is replayed brings only entries that are sealed
-already, so it changes nothing.
+State is the snapshot and the sequence number it is sealed to, in a file of its own that
+is written last; the newest whole one holds and none is replaced.  A batch that is
+replayed brings only entries that are sealed already, so it changes nothing.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,25 +15,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessera.sources import changelog
+from tessera.sources.table_store import file_system, read_small
 
 
 class Sealed:
-    """Snapshots under a folder; ``current`` holds one row: path and sealed_seq."""
+    """Snapshots under a folder; ``current-N`` holds one line: path, sealed_seq and an end mark."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str, keys: list[str]):
         self.spark, self.folder, self.schema, self.keys = spark, folder.rstrip("/"), schema, keys
 
     def _state(self) -> tuple[str | None, int]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/current")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return None, 0
-        stream = fs.open(at)
-        try:
-            name, seq = bytes(stream.readAllBytes()).decode().split()
-        finally:
-            stream.close()
-        return name, int(seq)
+        fs, at = file_system(self.spark, self.folder)
+        found = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        for name in sorted((n for n in found if re.fullmatch(r"current-\d{20}", n)), reverse=True):
+            parts = (read_small(self.spark, f"{self.folder}/{name}") or b"").decode().split()
+            if len(parts) == 3:  # else begun and not ended
+                return parts[0], int(parts[1])
+        return None, 0
 
     @property
     def sealed_seq(self) -> int:
@@ -50,14 +49,10 @@ class Sealed:
             return
         fresh = f"snapshot-{top}-{uuid.uuid4().hex[:8]}"
         changelog.merge(self.read(), new, self.keys).write.parquet(f"{self.folder}/{fresh}")
-        jvm = self.spark._jvm
-        tmp, at = (jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{x}") for x in ("current.tmp", "current"))
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        stream = fs.create(tmp, True)
-        stream.write(bytearray(f"{fresh} {top}".encode()))
+        fs, at = file_system(self.spark, f"{self.folder}/current-{top:020d}")
+        stream = fs.create(at, True)  # over one that was begun and not ended, at most
+        stream.write(bytearray(f"{fresh} {top} end".encode()))
         stream.close()
-        fs.delete(at, False)
-        fs.rename(tmp, at)
 
 
 def start(spark: SparkSession, log_folder: str, log_schema: str, sealed: Sealed, checkpoint: str, interval: str | None = None) -> StreamingQuery:

@@ -14,8 +14,8 @@ from tessera.operators import evidence, graph, ledger, recursion, search
 from tessera.operators.collection_store import Collection
 from tessera.plans import guardrail
 from tessera.session import Engine
-from tessera.sources import changelog
-from tessera.sources.table_store import TableStore, UniqueViolation
+from tessera.sources import changelog, table_store
+from tessera.sources.table_store import TableStore, UniqueViolation, file_system
 from tessera.sources.transactions import Conflict, Transaction
 from tessera.streaming import seal
 
@@ -254,6 +254,65 @@ def test_transactions_and_collections_with_writes(spark, tmp_path):
     assert c.sweep(now=100) == 1 and c.delete({"n": 5}) == 1 and c.count() == 0
 
 
+def test_transactions_read_what_they_touched_first(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    t = store.create("t", {"id": "INTEGER"}, ["id"])
+    row = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id long")
+    t.insert(row(1))
+    tx = Transaction(store)
+    assert tx.read("t").count() == 1
+    t.insert(row(2))
+    t.seal()
+    assert tx.read("t").count() == 1 and t.read().count() == 2  # also after a seal
+    tx.insert("t", row(3))
+    with pytest.raises(Conflict):
+        tx.commit()
+    assert {r.id for r in t.read().collect()} == {1, 2}
+
+
+@pytest.mark.parametrize("step", ["staged", "first", "both"])
+def test_a_writer_that_dies_leaves_nothing(spark, tmp_path, monkeypatch, step):
+    store = TableStore(spark, str(tmp_path))
+    a, b = (store.create(n, {"id": "INTEGER"}, ["id"]) for n in "ab")
+    row = lambda i: spark.createDataFrame([(i,)], "id long")
+    tx = Transaction(store)
+    tx.insert("a", row(1)), tx.insert("b", row(1))
+    left = {"staged": 0, "first": 1, "both": 2}[step]
+    real = type(a)._publish
+
+    def dies(self, manifest):
+        nonlocal left
+        if not left:
+            raise SystemError("killed")
+        left -= 1
+        real(self, manifest)
+
+    monkeypatch.setattr(type(a), "_publish", dies)
+    monkeypatch.setattr(store, "settle", lambda *_: (_ for _ in ()).throw(SystemError("killed")))
+    with pytest.raises(SystemError):
+        tx.commit()
+    monkeypatch.undo()
+    assert a.read().count() == 0 == b.read().count()
+    a.insert(row(1))  # the next writer ends what was begun
+    assert [x.read().count() for x in (a, b)] == [1, 0] and a.seal() and a.read().count() == 1
+    file_system(spark, a.path)[0].create(file_system(spark, f"{a.path}/manifest-{a.manifest['number'] + 1:012d}.json")[1]).close()
+    assert a.read().count() == 1  # a manifest that was begun and not ended holds nothing
+    with pytest.raises(Conflict):
+        a.insert(row(2))
+    monkeypatch.setattr(table_store, "LEASE_MS", -1)
+    assert a.insert(row(2)) == 1 and a.read().count() == 2
+
+
+def test_bm25_from_scans_equals_postings(spark):
+    texts = ["a b a", "b c", "", None, "c c c c d", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    posts = search.postings(df, "id", "t")
+    for wanted in (["a", "c"], ["b"], ["none"], ["c", "x", "x"]):
+        want = {r.pk: round(r.score, 9) for r in search.bm25(posts, wanted).collect()}
+        assert {r.pk: round(r.score, 9) for r in search.bm25_scan(df, "id", "t", wanted).collect()} == want
+    assert {r.pk for r in search.matches(posts, ("not", ("term", "a")), df.selectExpr("id as pk")).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_recursion_json_and_guardrail(spark, tmp_path):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "a int, b int")
     got = recursion.recursive_union(spark.createDataFrame([(1,)], "n int"), lambda new: new.join(edges, F.col("n") == F.col("a")).select("b"))
