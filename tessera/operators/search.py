@@ -8,6 +8,7 @@ statistics are global.  The stemmer is a batched UDF over the distinct terms of
 from __future__ import annotations
 
 import json
+import math
 import re
 from dataclasses import dataclass
 
@@ -98,6 +99,20 @@ def bm25(posts: DataFrame, wanted: list[str]) -> DataFrame:
     return hits.join(sizes, "pk").groupBy("pk").agg(F.sum(part).alias("score"))
 
 
+def bm25_scan(df: DataFrame, pk: str, text: str, wanted: list[str], analyzer: str = "default") -> DataFrame:
+    """What bm25() gives for the postings of df, from two scans of the texts: counts of the wanted terms alone, nothing shuffled but one row a task."""
+    words = sorted(set(wanted))
+    each = df.select(F.col(pk).alias("pk"), terms(F.col(text), analyzer).alias("terms")).where(F.size("terms") > 0)
+    tfs = F.transform(F.array(*map(F.lit, words)), lambda w: F.size(F.filter("terms", lambda t: t == w)))
+    each = each.select("pk", F.size("terms").alias("len"), tfs.alias("tf"))
+    n, mean, *dfs = each.agg(F.count(F.lit(1)), F.avg("len"), *[F.sum((F.get("tf", F.lit(k)) > 0).cast("int")) for k in range(len(words))]).first()
+    parts = []
+    for k, seen in enumerate(dfs):
+        tf = F.get("tf", F.lit(k)).cast("double")
+        parts.append(F.lit(math.log(1 + (n - (seen or 0) + 0.5) / ((seen or 0) + 0.5))) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(mean or 1.0))))
+    return each.where(F.exists("tf", lambda x: x > 0)).select("pk", sum(parts, F.lit(0.0)).alias("score"))
+
+
 # -- queries: trees of ("term", t) ("phrase", [..]) ("and", [..]) ("or", [..]) ("not", x) ("all",) ("none",)
 
 
@@ -160,9 +175,9 @@ def websearch(text: str, analyzer: str) -> tuple:
     return ("none",) if not groups else groups[0] if len(groups) == 1 else ("or", groups)
 
 
-def matches(posts: DataFrame, query: tuple) -> DataFrame:
-    """(pk) of what the query holds for."""
-    everything = posts.select("pk").distinct()
+def matches(posts: DataFrame, query: tuple, keys: DataFrame | None = None) -> DataFrame:
+    """(pk) of what the query holds for.  keys (pk): all documents, those without a term included; else those that have one."""
+    everything = posts.select("pk").distinct() if keys is None else keys
     kind = query[0]
     if kind == "all":
         return everything
@@ -182,12 +197,12 @@ def matches(posts: DataFrame, query: tuple) -> DataFrame:
         begin = F.explode(F.filter(F.flatten(F.array(*[places(i, w) for i, w in enumerate(words)])), lambda x: x["at"] >= 0))
         return own.select("pk", begin.alias("x")).groupBy("pk", "x.at").agg(F.count_distinct("x.i").alias("n")).where(F.col("n") == len(words)).select("pk").distinct()
     if kind == "not":
-        return everything.join(matches(posts, query[1]), "pk", "left_anti")
+        return everything.join(matches(posts, query[1], keys), "pk", "left_anti")
     parts = query[1]
     if kind == "or":
-        out = matches(posts, parts[0])
+        out = matches(posts, parts[0], keys)
         for p in parts[1:]:
-            out = out.union(matches(posts, p))
+            out = out.union(matches(posts, p, keys))
         return out.distinct()
     # and: all plain terms in one aggregation
     plain_terms = sorted({p[1] for p in parts if p[0] == "term"})
@@ -196,7 +211,7 @@ def matches(posts: DataFrame, query: tuple) -> DataFrame:
     if plain_terms:
         out = posts.where(F.col("term").isin(plain_terms)).groupBy("pk").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(plain_terms)).select("pk")
     for p in rest:
-        out = out.join(matches(posts, p[1]), "pk", "left_anti") if p[0] == "not" else out.join(matches(posts, p), "pk", "left_semi")
+        out = out.join(matches(posts, p[1], keys), "pk", "left_anti") if p[0] == "not" else out.join(matches(posts, p, keys), "pk", "left_semi")
     return out
 
 

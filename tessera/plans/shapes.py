@@ -185,8 +185,7 @@ def t_phrase(spark, sf_dir):
     FROM p JOIN s USING (pk) JOIN d USING (term), n WHERE term IN ('rights', 'reserved') GROUP BY p.pk"""
 )
 def t_bm25(spark, sf_dir):
-    posts = search.postings(read(spark, sf_dir, "documents"), "doc_id", "text")
-    return search.bm25(posts, ["rights", "reserved"]).select("pk", F.round("score", 6).alias("score"))
+    return search.bm25_scan(read(spark, sf_dir, "documents"), "doc_id", "text", ["rights", "reserved"]).select("pk", F.round("score", 6).alias("score"))
 
 
 @registered("SELECT doc_id FROM documents WHERE text LIKE '%rights reserved%'")
