@@ -76,9 +76,15 @@ def terms(text: Column, analyzer: str) -> Column:
     return _stems(kept) if kind == "en_stem" else kept
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it is read in fewer tasks than there are: so no more is moved than that many tasks read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def postings(df: DataFrame, pk: str, text: str, analyzer: str = "default") -> DataFrame:
     """(pk, term, tf, positions)"""
-    each = df.select(F.col(pk).alias("pk"), F.posexplode(terms(F.col(text), analyzer)).alias("pos", "term"))
+    each = spread(df.select(pk, text)).select(F.col(pk).alias("pk"), F.posexplode(terms(F.col(text), analyzer)).alias("pos", "term"))
     return each.groupBy("pk", "term").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -102,9 +108,10 @@ def bm25(posts: DataFrame, wanted: list[str]) -> DataFrame:
 def bm25_scan(df: DataFrame, pk: str, text: str, wanted: list[str], analyzer: str = "default") -> DataFrame:
     """What bm25() gives for the postings of df, from two scans of the texts: counts of the wanted terms alone, nothing shuffled but one row a task."""
     words = sorted(set(wanted))
-    each = df.select(F.col(pk).alias("pk"), terms(F.col(text), analyzer).alias("terms")).where(F.size("terms") > 0)
-    tfs = F.transform(F.array(*map(F.lit, words)), lambda w: F.size(F.filter("terms", lambda t: t == w)))
-    each = each.select("pk", F.size("terms").alias("len"), tfs.alias("tf"))
+    # generated, so that the optimiser doesn't copy what makes the terms, or counts them, into each use
+    each = spread(df.select(pk, text)).select(F.col(pk).alias("pk"), F.explode(F.array(terms(F.col(text), analyzer))).alias("terms"))
+    tfs = F.array(*[F.size("terms") - F.size(F.array_remove("terms", F.lit(w))) for w in words])
+    each = each.select("pk", F.inline(F.array(F.struct(F.size("terms").alias("len"), tfs.alias("tf"))))).where("len > 0")
     n, mean, *dfs = each.agg(F.count(F.lit(1)), F.avg("len"), *[F.sum((F.get("tf", F.lit(k)) > 0).cast("int")) for k in range(len(words))]).first()
     parts = []
     for k, seen in enumerate(dfs):
