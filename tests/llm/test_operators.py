@@ -188,14 +188,14 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize("cost", [20, embedding_dedup.PASS_COST])
-def test_embeddings_dense_region(spark, monkeypatch, cost):
+@pytest.mark.parametrize("cost, cosine", [(20, 0.8), (20, 0.9), (embedding_dedup.PASS_COST, 0.8)])
+def test_embeddings_dense_region(spark, monkeypatch, cost, cosine):
     monkeypatch.setattr(embedding_dedup, "PASS_COST", cost)
     rng = np.random.default_rng(5)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
     n, dim = 9000, 64
     x, mean = unit(rng.normal(size=(n, dim))), unit(rng.normal(size=dim))
-    x[: n // 3] = unit(0.8**0.5 * mean + 0.2**0.5 * x[: n // 3])
+    x[: n // 3] = unit(cosine**0.5 * mean + (1 - cosine) ** 0.5 * x[: n // 3])
     x[1000:2000] = unit(0.955 * x[:1000] + (1 - 0.955**2) ** 0.5 * unit(rng.normal(size=(1000, dim))))
     table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     got = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table).collect()}
@@ -262,6 +262,8 @@ def test_fingerprints(docs, spark):
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
     assert got[0].fingerprint == got[1].fingerprint and got[0].near_next == 1.0
     assert got[4].fingerprint == "" == got[6].fingerprint
+    keyless = spark.createDataFrame([(None, "a b c"), (1, "a b"), (None, None)], "doc_id long, text string")
+    assert [(r.n_chars, r.near_next) for r in fingerprint.edited_likeness(keyless).orderBy("n_chars").collect()] == [(0, 0.0), (3, 1.0), (5, 0.0)]
 
     def shingles(t):
         w = t.lower().split()
@@ -307,6 +309,19 @@ def test_secrets(spark, nothing):
 FORMS = ['{"password": "%s"}', '"api_key":"%s"', ":password => '%s'", "password   =   %s", "config['secret'] = '%s'", "token := %s", "x postgres://ann:%s@db.org/x", "password=%s"]
 
 
+def test_columns_of_any_name_pass_through(spark):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "th", "_k", "_copies", "_copy", "_score", "__s_th", "_0", "__row", "key"]
+    row = [1, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" and more', "en", "s", 5, *map(str, range(9))]
+    d = spark.createDataFrame([tuple(row), (None, None, None, None, None, *row[5:])], ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for stage in (corpus_pipeline.dedup_stage, corpus_pipeline.secrets_stage, corpus_pipeline.mixing_stage):
+        got = stage(spark, d, "")
+        assert got.columns == names
+        assert all(list(r)[5:] == row[5:] for r in got.collect()) and got.where("doc_id = 1").count() >= 1
+    assert "04dbebab" not in corpus_pipeline.secrets_stage(spark, d, "").where("doc_id = 1").first().text
+
+
 def test_secrets_behind_quoted_keys_and_in_addresses(spark):
     values = ["kT9vQ2xLm4z", "Zx8kQw!pLr$2mN"]
     rows = [(k, form % v, v) for k, (form, v) in enumerate((f, v) for f in FORMS for v in values)]
