@@ -40,6 +40,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,10 +50,9 @@ LENGTH = 400
 BATCH_BYTES = 2_000_000
 MOST = 1500
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Of the hash that chooses anchors and forms groups; whether bytes are equal is told by wider hashes or by the bytes.
+_BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-#: Hashes are taken in stretches, so that tables of powers and memory stay small whatever a text's length.
-STRETCH = 1 << 20
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +83,12 @@ def span_hashes(prefix: np.ndarray, base: int, begin: np.ndarray, end: np.ndarra
         return mix64((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def wide_hashes(raw: bytes, begin: list[int], end: list[int], seed: list[int]) -> np.ndarray:
+    """Two rows of 64 bits: a 128-bit hash of each stretch of bytes and its seed."""
+    made = [xxhash.xxh3_128_digest(raw[a:b], s) for a, b, s in zip(begin, end, seed, strict=True)]
+    return np.frombuffer(b"".join(made), "<u8").reshape(-1, 2).T
+
+
 def window_least(x: np.ndarray, w: int) -> np.ndarray:
     """Place of the leftmost least value in each window of w values."""
     n = len(x)
@@ -106,19 +112,17 @@ def runs_of(data: np.ndarray, length: int) -> tuple[np.ndarray, ...] | None:
     n, k = len(data), length // 2
     if n < length:
         return None
-    p1 = prefix_hashes(data, _BASES[0])
+    p1 = prefix_hashes(data, _BASE)
     at = np.arange(n - k + 1)
-    grams = span_hashes(p1, _BASES[0], at, at + k)
+    grams = span_hashes(p1, _BASE, at, at + k)
     least = window_least(grams, length - k + 1)
     cut = np.flatnonzero(least[1:] != least[:-1]) + 1
     first = np.concatenate([[0], cut])
     last = np.concatenate([cut - 1, [len(least) - 1]])
     anchor = least[first]
-    p2 = prefix_hashes(data, _BASES[1])
     # the place of the anchor in the span is part of what makes runs equal
-    with np.errstate(over="ignore"):
-        h1 = mix64(span_hashes(p1, _BASES[0], first, last + length) + (anchor - first).astype(np.uint64))
-    h2 = span_hashes(p2, _BASES[1], first, last + length)
+    raw = data.tobytes()
+    h1, h2 = wide_hashes(raw, first.tolist(), (last + length).tolist(), (anchor - first).tolist())
     return anchor, first, last, grams[anchor], h1, h2
 
 
@@ -280,21 +284,16 @@ def _halves(length: int, size: int, whole: bool):
         for b in batches:
             out: list[tuple] = []
             for key, h1, h2, into, span, node, done in zip(*(b.column(c).to_pylist() for c in ("key", "h1", "h2", "into", "span", "node", "done")), strict=True):
-                data = np.frombuffer(span, np.uint8)
-                prefix = [prefix_hashes(data, base) for base in _BASES]
                 origin = into - (length - length // 2)  # place 0, in the span
                 for n in (node,) if whole else (2 * node, 2 * node + 1):
                     lo, hi = origin + n * size, origin + (n + 1) * size - 1
-                    first, last = max(lo, 0), min(hi, len(data) - length)
+                    first, last = max(lo, 0), min(hi, len(span) - length)
                     if first > last:
                         continue
-                    begin, end = np.array([first, hi]), np.array([last + length, lo + length])
-                    u1, c1 = span_hashes(prefix[0], _BASES[0], begin[:1], end[:1]), span_hashes(prefix[0], _BASES[0], *_inside(begin[1:], end[1:]))
-                    u2, c2 = span_hashes(prefix[1], _BASES[1], begin[:1], end[:1]), span_hashes(prefix[1], _BASES[1], *_inside(begin[1:], end[1:]))
-                    with np.errstate(over="ignore"):  # equal only with equal places
-                        u1 = mix64(u1 + np.uint64((first - origin) << 20 | (last - origin)))
-                        c1 = mix64(c1 + np.uint64(n))
-                    out.append((key, h1, h2, into, span, n, done, first - into, last - into + length, *(int(x.view("i8")[0]) for x in (u1, u2, c1, c2))))
+                    # equal only with equal places
+                    u, c = (xxhash.xxh3_128_digest(span[x:y], seed) for x, y, seed in ((first, last + length, (first - origin) << 20 | (last - origin)), (hi, max(hi, lo + length), n)))
+                    u1, u2, c1, c2 = np.frombuffer(u + c, "<i8").tolist()
+                    out.append((key, h1, h2, into, span, n, done, first - into, last - into + length, u1, u2, c1, c2))
             if out:
                 kinds = (pa.int64(),) * 3 + (pa.int32(), pa.binary(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()) + (pa.int64(),) * 4
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["key", "h1", "h2", "into", "span", "node", "done", "lo", "hi", "u1", "u2", "c1", "c2"])
@@ -302,10 +301,6 @@ def _halves(length: int, size: int, whole: bool):
     return run
 
 
-def _inside(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return begin, np.maximum(begin, end)
-
-
 def _by_halving(spans: DataFrame, length: int) -> DataFrame:
     """spans of large groups -> (key, h1, h2, lo, hi), from anchors, as from the suffix arrays."""
     schema = "key long, h1 long, h2 long, into int, span binary, node int, done boolean, lo int, hi int, u1 long, u2 long, c1 long, c2 long"
