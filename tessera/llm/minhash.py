@@ -11,11 +11,16 @@ shares a key with probability ``recall``.
 2. Nodes that share a band of either collection with another get their table keys;
    each key's smallest node is its hub.  Hub edges, by connected components, give
    clusters: nodes with a common key are in one cluster.
-3. Each cluster's texts are sent once to its blocks.  There every pair with a common
+3. A cluster of more than ``block`` nodes is narrowed first, in rounds.  Each node is
+   compared with the hub of one of its keys, and what links is united.  Then only keys
+   that hold nodes of two components or more are left, and only nodes with such a key.
+   Rounds go on while each leaves at most half of the nodes; what is left is clustered
+   anew.  A round sends each node's text once, so a large group costs in proportion.
+4. Each cluster's texts are sent once to its blocks.  There every pair with a common
    key is confirmed on the full shingle sets, unless links found before already
    connect it.  A cluster is cut into blocks of ``block`` nodes and each pair of
    blocks is a task's group, so no cluster, whatever its size, meets in one task.
-4. Connected components of the confirmed links.
+5. Connected components of the confirmed links.
 
 Words are runs of other bytes than space and \\t \\n \\v \\f \\r, A-Z lower-cased.  With
 fewer words than a shingle has, the whole sequence is the one shingle; without words
@@ -114,20 +119,80 @@ def _signatures(docs: DataFrame, width: int, m: int) -> DataFrame:
     return docs.where("doc is not null and text is not null").mapInArrow(run, "doc long, s1 long, s2 long, n long, bands array<long>")
 
 
-def _candidates(nodes: DataFrame, m: int) -> DataFrame:
-    """Edges (a, b) from each table key's smallest node to its others."""
+def _tables(nodes: DataFrame, m: int) -> DataFrame:
+    """(node, key): the table keys of nodes that share a band of each collection with others."""
     single = nodes.select("node", F.posexplode("bands").alias("band", "h"))
     shared = single.groupBy("band", "h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("band", "h")
     hit = single.join(shared, ["band", "h"], "left_semi").groupBy("node").agg(F.collect_set("band").alias("own"))
     tables = nodes.join(hit, "node").select("node", "bands", F.filter("own", lambda x: x < m).alias("left"), F.filter("own", lambda x: x >= m).alias("right"))
     tables = tables.select("node", "bands", "right", F.explode("left").alias("i")).select("node", "bands", "i", F.explode("right").alias("j"))
-    tables = tables.select("node", F.xxhash64("i", "j", F.get("bands", F.col("i")), F.get("bands", F.col("j"))).alias("key"))
+    return tables.select("node", F.xxhash64("i", "j", F.get("bands", F.col("i")), F.get("bands", F.col("j"))).alias("key"))
+
+
+def _candidates(tables: DataFrame) -> DataFrame:
+    """Edges (a, b) from each table key's smallest node to its others."""
     hubs = tables.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "hub")
     return tables.join(hubs, "key").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def _within(mask: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many of each stretch are true; stretches may be empty."""
+    total = np.concatenate([[0], np.cumsum(mask)])
+    return total[starts + counts] - total[starts]
+
+
+def _spokes(group: pa.Table, width: int, num: int, den: int) -> np.ndarray:
+    """The nodes of a group that are linked with its hub, which is in the group."""
+    node, hub = group["node"].to_numpy(), group["hub"][0].as_py()
+    flat, counts = shingle_sets(group["text"].combine_chunks(), width)
+    starts, linked = np.cumsum(counts) - counts, np.zeros(len(node), bool)
+    for h in np.flatnonzero((node == hub) & (counts > 0)).tolist():  # several where rows share an id
+        inter = _within(np.isin(flat, flat[starts[h] : starts[h] + counts[h]]), starts, counts)
+        linked |= den * inter >= num * (counts[h] + counts - inter)
+    return np.unique(node[linked & (node != hub)])
+
+
+def _narrowed(big: DataFrame, nodes: DataFrame, texts: DataFrame, m: int, width: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(links: a, b), and (node, component, part) of the nodes of large clusters that are still to be compared: part is what links unite so far."""
+    spark = big.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = save(texts.join(big.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi"), "texts")
+    tables = save(_tables(nodes.join(big, "node", "left_semi"), m).distinct().withColumn("part", F.col("node")), "tables")
+    links, before = None, big.count()
+
+    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        solely(None)
+        for g in runs(batches, "hub", "salt"):
+            b = _spokes(g, width, num, den)
+            if len(b):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), g["hub"][0].as_py(), "i8")), pa.array(b)], names=["a", "b"])
+
+    while True:
+        hubs = tables.groupBy("key").agg(F.min(F.struct("part", "node")).alias("hub"))
+        spokes = tables.join(hubs, "key").where("hub.part < part").groupBy("node").agg(F.min("hub").alias("hub")).select(F.col("hub.node").alias("hub"), "node")
+        spokes = save(spokes, "spokes")
+        salts = spokes.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("salts"))
+        rows = spokes.join(salts, "hub").select("hub", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node")
+        own = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("node"))
+        sent = rows.unionByName(own).join(words, F.col("node") == F.col("doc")).select("hub", "salt", "node", "text")
+        found = save(sent.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt").mapInArrow(confirm, "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        united = connected_components(links)
+        now = tables.drop("part").join(united, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+        now = save(now, "tables")
+        mixed = now.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
+        left = save(now.join(mixed, "key", "left_semi"), "tables")
+        discard(tables, spokes, united, now)
+        tables, after = left, left.select("node").distinct().count()
+        if not after or 2 * after > before:
+            break
+        before = after
+    clusters = connected_components(_candidates(tables.select("key", "node")))
+    return links, save(clusters.join(tables.select("node", "part").distinct(), "node"), "clusters")
+
+
 def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of one group that span what its candidates link; rows of the same block twice over where i = j."""
+    """Links of one group that, with what unites its parts, span what its candidates link."""
     node, own = group["node"].to_numpy(), group["own"].to_numpy()
     i, j = group["i"][0].as_py(), group["j"][0].as_py()
     flat, counts = shingle_sets(group["text"].combine_chunks(), width)
@@ -135,7 +200,7 @@ def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple
     words, at = np.unique(flat, return_inverse=True)  # shingles as numbers from 0, for this group
     sets = np.split(at, starts[1:])
     bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), 2 * m)
-    label, mark = np.arange(len(node)), np.zeros(len(words), bool)
+    label, mark = np.unique(group["part"].to_numpy(), return_inverse=True)[1], np.zeros(len(words), bool)
     found = []
     for x in range(len(node)):
         # each pair once; between two blocks only those across
@@ -153,7 +218,7 @@ def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple
         if 4 * len(y) < len(node):
             inter = np.array([np.count_nonzero(mark[sets[z]]) for z in y.tolist()])
         else:
-            inter = np.add.reduceat(mark[at].astype(np.int32), starts)[y]
+            inter = _within(mark[at], starts, counts)[y]
         mark[sets[x]] = False
         y = y[den * inter >= num * (counts[x] + counts[y] - inter)]
         if len(y):
@@ -173,12 +238,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     signed = save(_signatures(texts, width, m), "signatures")
     classes = save(signed.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("c")), "classes")
     nodes = classes.select("node", "bands")
-    clusters = save(connected_components(_candidates(nodes, m)), "clusters")
-    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    cut = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    united = save(connected_components(_candidates(_tables(nodes, m))), "clusters")
+    sizes = united.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    clusters, narrow = united.join(sizes, "component").select("node", "component", F.col("node").alias("part"), "size"), None
+    if sizes.where(F.col("size") > block).limit(1).count():
+        big = save(clusters.where(F.col("size") > block).select("node"), "big")
+        narrow, rest = _narrowed(big, nodes, texts, m, width, num, den, block)
+        clusters = clusters.where(F.col("size") <= block).drop("size").unionByName(rest)
+        sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+        clusters = clusters.join(sizes, "component")
+    cut = clusters.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     whole = cut.join(nodes, "node").join(texts, F.col("node") == F.col("doc")).drop("doc")
     sent = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    sent = sent.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "bands", "text")
+    sent = sent.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "bands", "text")
 
     def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         solely(None)
@@ -189,12 +261,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     links = sent.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(confirm, "a long, b long")
-    components = connected_components(links)
+    components = connected_components(links if narrow is None else links.unionByName(narrow))
     known = classes.join(components, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("component"))
     # rows that share an id: their sets' components meet in the smallest, and the row reports the largest set
     per_doc = signed.select("doc", "s1", "s2", "n").join(known, ["s1", "s2"]).groupBy("doc").agg(F.max("n").alias("n"), F.min("component").alias("component"))
     per_doc = save(per_doc, "components")
-    discard(signed, classes, clusters, components)
+    discard(signed, classes, united, components)
     out = texts.select("doc").join(per_doc, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias(key), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"))

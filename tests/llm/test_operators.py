@@ -188,6 +188,20 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("widest", [8, 40, 16_384])
+def test_embedding_links_in_blocks(spark, monkeypatch, widest):
+    """Counts within one component of several blocks, with equal vectors, whatever the size of a block."""
+    monkeypatch.setattr(embedding_dedup, "WIDEST", widest)
+    x = np.random.default_rng(3).normal(size=(90, 6)) * 0.14 + 1
+    x[80:] = x[:10]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), block=8, window=8).collect()}
+    assert [got[i].n_links for i in range(90)] == (near.sum(axis=1) - 1).tolist()
+    nodes, root = forest(*(k for k in np.nonzero(near)))
+    assert [got[i].component_id for i in range(90)] == root[np.searchsorted(nodes, np.arange(90))].tolist()
+
+
 @pytest.mark.parametrize("cost, cosine", [(20, 0.8), (20, 0.9), (embedding_dedup.PASS_COST, 0.8)])
 def test_embeddings_dense_region(spark, monkeypatch, cost, cosine):
     monkeypatch.setattr(embedding_dedup, "PASS_COST", cost)
@@ -245,6 +259,26 @@ def test_minhash(spark, width, num, block):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want.get(r.doc_id, r.doc_id), want.get(r.doc_id, r.doc_id) == r.doc_id)
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_minhash_large_group(spark, block):
+    """A chain whose ends aren't linked, a dense group, and pairs just under the threshold, with rows that share an id."""
+    words = prose(400).split()
+    texts = [" ".join(words[k : k + 100]) for k in range(0, 60, 2)]  # each links with its next ones only
+    texts += [" ".join([*words[300:399], f"w{k}"]) for k in range(40)]
+    texts += [" ".join([*words[200:280], *(f"x{k}-{i}" for i in range(9))]) for k in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, ""), (3, texts[35])]
+    sets: dict[int, list] = {}
+    for i, t in rows:
+        w = t.lower().split()
+        sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    links = [(i, j) for i in sets for j in sets if i < j and any(a and b and 100 * len(a & b) >= 80 * len(a | b) for a in sets[i] for b in sets[j])]
+    nodes, root = forest(*np.array(links).T)
+    want = dict(zip(nodes.tolist(), root.tolist(), strict=True))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block, recall=0.999999).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == {i: want.get(i, i) for i in sets}
+
+
 def test_minhash_empty(nothing):
     assert minhash.near_duplicates(nothing).count() == 0
 
