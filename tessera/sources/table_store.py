@@ -152,8 +152,19 @@ class Table:
         if drop:
             if drop in m["key"]:
                 raise ValueError("a key column can't be dropped")
+            if drop not in [c["name"] for c in m["columns"]]:
+                raise KeyError(drop)
             m["columns"] = [c for c in m["columns"] if c["name"] != drop]
+            m["required"] = [c for c in m.get("required", []) if c != drop]
+            for kind in ("unique", "indexes"):
+                m[kind] = {n: c for n, c in m.get(kind, {}).items() if drop not in c}
         if rename:
+            to = lambda names: [rename[1] if c == rename[0] else c for c in names]
+            if rename[0] not in [c["name"] for c in m["columns"]] or rename[1] in [c["name"] for c in m["columns"]]:
+                raise ValueError(f"can't rename {rename[0]} to {rename[1]}")
+            m["required"] = to(m.get("required", []))
+            for kind in ("unique", "indexes"):
+                m[kind] = {n: to(c) for n, c in m.get(kind, {}).items()}
             for c in m["columns"]:
                 if c["name"] == rename[0]:
                     c["name"] = rename[1]
@@ -220,7 +231,13 @@ class Table:
             self._publish(new)
         return n
 
+    def _required(self, rows: DataFrame, m: dict | None = None) -> None:
+        if lacking := (m or self.manifest).get("required"):
+            if rows.where(" or ".join(f"`{c}` is null" for c in lacking)).limit(1).count():
+                raise ValueError(f"one of {lacking} is null")
+
     def _check(self, rows: DataFrame, others: DataFrame | None) -> None:
+        self._required(rows)
         for name, cols in [("primary key", self.keys), *self.manifest["unique"].items()]:
             known = rows.where(" and ".join(f"`{c}` is not null" for c in cols))
             if name == "primary key" and known.count() != rows.count():
@@ -260,19 +277,47 @@ class Table:
         m = m or self._settled()
         rows = self.read(m=m) if where is None else self.read(m=m).where(where)
         new = rows.withColumns({c: (v if hasattr(v, "_jc") else F.expr(v) if isinstance(v, str) else F.lit(v)) for c, v in assignments.items()})
-        return self._append(self._conform(new), changelog.UPSERT, m)
+        new = self._conform(new)
+        self._required(new, m)
+        for name, cols in m["unique"].items():
+            if set(cols) & set(assignments):
+                after = changelog.merge(self.read(m=m), new.withColumns({"op": F.lit(changelog.UPSERT), "seq": F.lit(1).cast("long")}), m["key"])
+                self._distinct(name, cols, after)
+        return self._append(new, changelog.UPSERT, m)
 
     def delete(self, where=None, m: dict | None = None) -> int:
         m = m or self._settled()
         rows = self.read(m=m)
         return self._append(rows if where is None else rows.where(where), changelog.DELETE, m)
 
+    @staticmethod
+    def _distinct(name: str, columns: list[str], rows: DataFrame) -> None:
+        if rows.where(" and ".join(f"`{c}` is not null" for c in columns)).groupBy(*columns).count().where("count > 1").limit(1).count():
+            raise UniqueViolation(f"UNIQUE_VIOLATION: {name}")
+
     def create_unique_index(self, name: str, columns: list[str]) -> None:
         m = self._settled()
-        m["unique"][name] = columns
-        bad = self.read(m=m).where(" and ".join(f"`{c}` is not null" for c in columns)).groupBy(*columns).count().where("count > 1").limit(1).count()
-        if bad:
-            raise UniqueViolation(f"UNIQUE_VIOLATION: {name}")
+        self._index(m, name, columns, "unique")
+        self._distinct(name, columns, self.read(m=m))
+        self._publish(m)
+
+    def create_index(self, name: str, columns: list[str]) -> None:
+        """Metadata only: sealed files are sorted by key, and scans prune by statistics."""
+        m = self.manifest
+        self._index(m, name, columns, "indexes")
+        self._publish(m)
+
+    def _index(self, m: dict, name: str, columns: list[str], kind: str) -> None:
+        if name in m["unique"] or name in m.get("indexes", {}):
+            raise ValueError(f"index {name} exists")
+        if unknown := set(columns) - {c["name"] for c in m["columns"]}:
+            raise ValueError(f"no such columns: {sorted(unknown)}")
+        m.setdefault(kind, {})[name] = columns
+
+    def drop_index(self, name: str) -> None:
+        m = self.manifest
+        if m["unique"].pop(name, None) is None and m.get("indexes", {}).pop(name, None) is None:
+            raise KeyError(name)
         self._publish(m)
 
     # -- sealing
@@ -323,7 +368,7 @@ class TableStore:
         create_once(self.spark, f"{self.folder}/_transactions/{tx}", outcome.encode())
         return self.outcome(tx) or "aborted"
 
-    def create(self, name: str, columns: dict[str, str], key: list[str], if_not_exists: bool = False) -> Table:
+    def create(self, name: str, columns: dict[str, str], key: list[str], if_not_exists: bool = False, required: list[str] = (), defaults: dict | None = None, unique: dict | None = None) -> Table:
         for n in (name, *columns):
             if not _NAME.match(n):
                 raise ValueError(f"not a name: {n!r}")
@@ -334,8 +379,8 @@ class TableStore:
             if if_not_exists:
                 return t
             raise ValueError(f"table {name} exists")
-        made = [{"name": n, "stored": f"{n}-{k}", "type": types.normalize(x)[0], "spark": types.normalize(x)[1], "default": None} for k, (n, x) in enumerate(columns.items())]
-        t._publish({"columns": made, "key": key, "unique": {}, "seq": 0, "sealed_seq": 0, "snapshot": None, "logs": [], "next_slot": len(made)})
+        made = [{"name": n, "stored": f"{n}-{k}", "type": types.normalize(x)[0], "spark": types.normalize(x)[1], "default": (defaults or {}).get(n)} for k, (n, x) in enumerate(columns.items())]
+        t._publish({"columns": made, "key": key, "unique": unique or {}, "indexes": {}, "required": list(required), "seq": 0, "sealed_seq": 0, "snapshot": None, "logs": [], "next_slot": len(made)})
         return t
 
     def create_as(self, name: str, df: DataFrame, key: list[str]) -> Table:
@@ -359,6 +404,13 @@ class TableStore:
         fs, at = self.table(name)._file("")
         fs.delete(at.getParent() if at.getName() == "" else at, True)
 
+    def rename(self, name: str, to: str) -> None:
+        if not _NAME.match(to) or Table(self, to).exists():
+            raise ValueError(f"can't rename {name} to {to}")
+        fs, old = file_system(self.spark, self.table(name).path)
+        if not fs.rename(old, file_system(self.spark, f"{self.folder}/{to}")[1]):
+            raise RuntimeError(f"{name} could not be renamed")
+
     def columns(self) -> DataFrame:
         """(table_name, column_name, column_id, nullable, key, data_type) of all tables."""
         rows = [(n, c["name"], k, c["name"] not in m["key"], "PRIMARY KEY" if c["name"] in m["key"] else None, c["type"]) for n in self.names() for m in [self.table(n).manifest] for k, c in enumerate(m["columns"], 1)]

@@ -56,7 +56,16 @@ class Transaction:
         if set(assignments) & set(t.keys):
             raise ValueError("a key column can't be updated")
         rows = self.read(name).where(where) if where else self.read(name)
-        self.changes.setdefault(name, []).append((changelog.UPSERT, t._conform(rows.withColumns({c: F.expr(v) for c, v in assignments.items()}))))
+        new = t._conform(rows.withColumns({c: F.expr(v) for c, v in assignments.items()}))
+        t._required(new)
+        self.changes.setdefault(name, []).append((changelog.UPSERT, new))
+        for index, cols in t.manifest["unique"].items():
+            if set(cols) & set(assignments):
+                try:
+                    t._distinct(index, cols, self.read(name))
+                except ValueError:
+                    self.changes[name].pop()
+                    raise
 
     def delete(self, name: str, where: str | None = None) -> None:
         self._table(name)
