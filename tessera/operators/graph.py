@@ -6,22 +6,19 @@ folder every round, so lineage stays short and lost executors cost one round.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import shared_dir
+
 IDENTITY = ["src", "dst", "type"]
 
 
 def _save(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at}/graph-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

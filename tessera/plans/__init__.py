@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import relational, shapes
+from tessera.plans import relational, shapes, stored, wider
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | shapes.QUERIES
-ORACLE_SQL: dict[str, str] = relational.ORACLE_SQL | shapes.ORACLE_SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = relational.QUERIES | shapes.QUERIES | stored.QUERIES | wider.QUERIES
+ORACLE_SQL: dict[str, str] = relational.ORACLE_SQL | shapes.ORACLE_SQL | stored.ORACLE_SQL | wider.ORACLE_SQL

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +23,18 @@ def build(master: str = "local[*]", app: str = "tessera", **conf) -> SparkSessio
     return builder.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares.  Where none is named, a temporary one if this machine is all there is, else an error."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, at, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 _registered: set[int] = set()
 
 
