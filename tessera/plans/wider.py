@@ -59,9 +59,12 @@ def o_null_order_setting(spark, sf_dir):
     return engine.sql("SELECT n_nationkey, n_name FROM nation ORDER BY nullif(n_nationkey, 5) DESC LIMIT 4")
 
 
-@registered("SELECT s.s_suppkey FROM supplier s WHERE s.s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 20 = 1 AND c_nationkey < 20)")
+_ANTI = "SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_mktsegment = 'BUILDING' AND c_acctbal > 9000)"
+
+
+@registered(_ANTI)
 def j_anti_some(spark, sf_dir):
-    return Engine(spark, sf_dir, ["supplier", "customer"]).sql("SELECT s.s_suppkey FROM supplier s WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s.s_nationkey AND c_custkey % 20 = 1 AND c_nationkey < 20)")
+    return Engine(spark, sf_dir, ["supplier", "customer"]).sql(_ANTI)
 
 
 # -- the structured search language
