@@ -6,9 +6,10 @@ projections, and each is compared, in double precision, with the ``window`` node
 that follow.  Each pass also measures for each node how many bits it takes until at
 most ``window`` nodes share them: a pair at the threshold agrees on so many with a
 known probability.  Passes go on over the nodes for which the product of what they
-may have missed is above ``miss`` yet; nodes of dense regions take more of them.  Once
-comparing all nodes that are left costs less than the passes they need, they are
-compared block against block, and miss nothing.  The passes of a round are one
+may have missed is above ``miss`` yet; nodes of dense regions take more of them.  This
+holds for tables of any size.  Nodes that at the rate they measured would need more than
+MOST passes are compared block against block, and miss nothing: the density around a
+node decides that, the number of rows does not.  The passes of a round are one
 range-sorted job; tasks pass the head of their range to the task before, so windows
 cross borders.  Verified pairs are united into components.
 
@@ -40,8 +41,11 @@ BITS = 63
 WINDOW = 96
 MISS = 0.001
 BLOCK = 512
-#: What a node costs in a pass (two shuffles, a sort, a window), in comparisons of two vectors; decides the method, never a result.
+#: What a node costs in a pass (two shuffles, a sort, a window), in comparisons of two vectors, and what its passes may cost.
 PASS_COST = 2000
+WORTH = 400_000
+#: Rows of a task of a round of passes, so that few lie at an edge, where a task can't measure.
+TASK_ROWS = 8192
 #: Nodes of a block where all nodes left are compared.
 REST_BLOCK = 2048
 #: Nodes of a block of the largest components; smaller ones have as many pairs of blocks as the job has tasks, or blocks of BLOCK.
@@ -63,14 +67,19 @@ def _agree(threshold: float) -> float:
     return 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
 
 
-def bits_needed(group: np.ndarray, sign: np.ndarray, window: int) -> np.ndarray:
+def bits_needed(group: np.ndarray, sign: np.ndarray, window: int, first: bool = False, last: bool = False) -> np.ndarray:
     """For each of the sorted nodes the least number of first bits that at most ``window`` others share; BITS + 1 where none is enough.
 
     ``group`` numbers the (dim, pass) of a node, which cuts runs.  What lies before the
-    first and behind the last node is unknown, so nodes there count as dense.
+    first and behind the last node is unknown, so nodes there count as dense, unless
+    these nodes are the ``first`` or the ``last`` of all.
     """
     n, far = len(sign), window + 1
     shared = np.full(n + far, BITS, np.int64)  # at far + j: how long nodes j and j + far agree
+    if first:
+        shared[:far] = -1
+    if last:
+        shared[n:] = -1
     if n > far:
         x = sign[far:] ^ sign[:-far]
         high, low = x >> 32, x & 0xFFFFFFFF
@@ -105,20 +114,21 @@ def _nodes(vectors: DataFrame, key: str, vector: str) -> tuple[DataFrame, DataFr
 
 
 def _pairs(nodes: DataFrame, threshold: float, window: int, miss: float) -> DataFrame:
-    """Edges (a, b) that connect what is linked: passes until the measured miss is small enough, the rest compared whole."""
-    left, m = nodes.withColumn("missed", F.lit(0.0)), nodes.count()
-    begin, more, edges = 0, passes_for(m, threshold, window, miss), None
-    while m > 1 and more * PASS_COST < m:
-        both = save(_passes(left, range(begin, begin + more), threshold, window), "passes")
+    """Edges (a, b) that connect what is linked: passes until the measured miss of each node is small enough; nodes too dense for that are compared whole."""
+    left, m, most = nodes.withColumn("missed", F.lit(0.0)), nodes.count(), max(1, WORTH // PASS_COST)
+    begin, more, edges = 0, min(most, passes_for(m, threshold, window, miss)), None
+    while m > 1 and more:
+        both = save(_passes(left, m, range(begin, begin + more), threshold, window), "passes")
         found = both.where("b is not null").select("a", "b")
         edges = found if edges is None else edges.unionByName(found)
         gained = both.where("b is null").groupBy("a", "pass").agg(F.max("gain").alias("gain")).groupBy("a").agg(F.sum("gain").alias("gain"))  # vectors may share an id
         rest = left.join(gained.withColumnRenamed("a", "node"), "node").withColumn("missed", F.col("missed") + F.col("gain")).where(F.col("missed") > math.log(miss))
         left = save(rest.drop("gain").select(*left.columns), "dense")
-        m, lacking, gain = left.agg(F.count(F.lit(1)), F.sum(F.col("missed") - math.log(miss)), F.sum("missed")).first()
         begin += more
-        # passes that the nodes left still need, at what a pass gained them so far
-        more = max(1, math.ceil(lacking / -gain * begin)) if m and gain < 0 else m
+        # nodes that are done within the passes they may take, at the rate they measured; the others stay, as pairs with them count too
+        able = F.col("missed") <= begin / most * math.log(miss)
+        m, soon, gain = left.agg(F.count(F.lit(1)), F.count(F.when(able, 1)), F.sum(F.when(able, F.col("missed")))).first()
+        more = min(most - begin, max(begin, math.ceil(begin * (soon * math.log(miss) / gain - 1)))) if soon else 0  # few rounds
     whole = _whole(left, m, threshold) if m > 1 else None
     if edges is None:
         return whole if whole is not None else nodes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b"))
@@ -149,8 +159,8 @@ def _whole(left: DataFrame, m: int, threshold: float) -> DataFrame:
     return sent.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "dim").mapInArrow(linked, "a long, b long")
 
 
-def _passes(nodes: DataFrame, passes: range, threshold: float, window: int) -> DataFrame:
-    """Edges (a, b, null, null), and for each pass of a node (a, null, pass, gain): log of the probability that the pass missed a pair of it."""
+def _passes(nodes: DataFrame, m: int, passes: range, threshold: float, window: int) -> DataFrame:
+    """Edges (a, b, null, null), and for each pass of one of the m nodes (a, null, pass, gain): log of the probability that the pass missed a pair of it."""
     agree = _agree(threshold)
     gains = np.array([-np.inf if agree**k >= 1 else math.log1p(-(agree**k)) for k in range(BITS + 1)] + [0.0])
 
@@ -205,12 +215,13 @@ def _passes(nodes: DataFrame, passes: range, threshold: float, window: int) -> D
         part, head, dim, turn, sign, node = (np.concatenate([k[c] for k in keys]) for c in range(6))
         for at in np.split(np.arange(len(part)), np.flatnonzero(part[1:] != part[:-1]) + 1):
             group = np.cumsum(np.r_[0, (dim[at][1:] != dim[at][:-1]) | (turn[at][1:] != turn[at][:-1])])
-            gain, own = gains[bits_needed(group, sign[at], window)], ~head[at]
+            # without the head of a next task these are the last of all
+            gain, own = gains[bits_needed(group, sign[at], window, part[at[0]] == 0, not head[at].any())], ~head[at]
             yield pa.RecordBatch.from_arrays([pa.array(node[at][own]), pa.nulls(int(own.sum()), pa.int64()), pa.array(turn[at][own]), pa.array(gain[own])], names=["a", "b", "pass", "gain"])
 
     rows = nodes.mapInArrow(keyed, "dim int, pass int, sign long, node long, v binary")
     order = ["dim", "pass", "sign", "node"]
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), m * len(passes) // TASK_ROWS))
     spread = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tagged, "part long, head boolean, dim int, pass int, sign long, node long, v binary")
     return spread.repartition(parts, "part").sortWithinPartitions("part", "head", *order).mapInArrow(compared, "a long, b long, pass int, gain double")
 

@@ -217,6 +217,28 @@ def test_embeddings_dense_region(spark, monkeypatch, cost, cosine):
     assert len(a) >= 1000 and sum(got[i] != got[j] for i, j in zip(a.tolist(), b.tolist(), strict=True)) <= 0.004 * len(a)
 
 
+@pytest.mark.parametrize("n", [60, 1500])
+def test_embeddings_small_tables_go_through_passes(spark, monkeypatch, n):
+    """Few rows choose no other method: what isn't dense is found by passes alone."""
+    monkeypatch.setattr(embedding_dedup, "_whole", lambda left, m, threshold: pytest.fail(f"{m} vectors were compared whole"))
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    x = unit(rng.normal(size=(n, 64)))
+    x[: n // 3] = unit(0.955 * x[n // 3 : 2 * (n // 3)] + (1 - 0.955**2) ** 0.5 * unit(rng.normal(size=(n // 3, 64))))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).collect()}
+    near = x @ x.T >= 0.95
+    nodes, root = forest(*np.nonzero(near))
+    want = dict(zip(nodes.tolist(), zip((near.sum(1) - 1).tolist(), root.tolist(), strict=True), strict=True))
+    assert near.sum() > n + n // 3 and sum(got[i] != want[i] for i in want) <= 0.004 * n
+
+
+def test_bits_needed_knows_both_ends():
+    group, sign = np.repeat([0, 1], [3, 6]), np.arange(9) << 40
+    assert embedding_dedup.bits_needed(group[:3], sign[:3], 4, True, True).tolist() == [0] * 3
+    assert embedding_dedup.bits_needed(group[:3], sign[:3], 4).tolist() == [64] * 3
+    assert embedding_dedup.bits_needed(group, sign, 9, True, True).tolist() == [0] * 9
+
+
 def test_bits_needed():
     rng = np.random.default_rng(1)
     sign = np.concatenate([np.sort(rng.integers(0, 2**63 - 1, n) >> rng.integers(0, 60, n)) for n in (90, 110)])
