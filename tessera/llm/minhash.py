@@ -18,8 +18,9 @@ shares a key with probability ``recall``.
    anew.  A round sends each node's text once, so a large group costs in proportion.
 4. Each cluster's texts are sent once to its blocks.  There every pair with a common
    key is confirmed on the full shingle sets, unless links found before already
-   connect it.  A cluster is cut into blocks of ``block`` nodes and each pair of
-   blocks is a task's group, so no cluster, whatever its size, meets in one task.
+   connect it.  A cluster is cut into blocks of ``block`` nodes, fewer where they are
+   long, and each pair of blocks is a task's group, so no cluster, whatever its size,
+   meets in one task.  A group's texts are shingled step by step: only hashes are held.
 5. Connected components of the confirmed links.
 
 Words are runs of other bytes than space and \\t \\n \\v \\f \\r, A-Z lower-cased.  With
@@ -47,6 +48,8 @@ from tessera.llm.common import connected_components, discard, lean, mix64, runs,
 K = 4
 RECALL = 0.9985
 BLOCK = 1024
+#: Shingles of a block, about: long texts make more blocks.
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +75,12 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array([len(h) for h in out], np.int64)
 
 
+def group_sets(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of the texts of a group, of which words are made for one step at a time."""
+    made = [shingle_sets(b.column("text"), width) for b in text_slices(pa.table({"text": texts}).to_batches(), "text")]
+    return tuple(np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.uint64, np.int64), zip(*made, strict=True), strict=True))
+
+
 def bands_for(num: int, den: int, k: int = K, recall: float = RECALL) -> int:
     """How many bands a collection needs so that pairs at the threshold num/den share a table key with probability recall."""
     p, m = (num / den) ** k, 1
@@ -144,7 +153,7 @@ def _within(mask: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndar
 def _spokes(group: pa.Table, width: int, num: int, den: int) -> np.ndarray:
     """The nodes of a group that are linked with its hub, which is in the group."""
     node, hub = group["node"].to_numpy(), group["hub"][0].as_py()
-    flat, counts = shingle_sets(group["text"].combine_chunks(), width)
+    flat, counts = group_sets(group["text"], width)
     starts, linked = np.cumsum(counts) - counts, np.zeros(len(node), bool)
     for h in np.flatnonzero((node == hub) & (counts > 0)).tolist():  # several where rows share an id
         inter = _within(np.isin(flat, flat[starts[h] : starts[h] + counts[h]]), starts, counts)
@@ -195,9 +204,10 @@ def _confirmed(group: pa.Table, m: int, width: int, num: int, den: int) -> tuple
     """Links of one group that, with what unites its parts, span what its candidates link."""
     node, own = group["node"].to_numpy(), group["own"].to_numpy()
     i, j = group["i"][0].as_py(), group["j"][0].as_py()
-    flat, counts = shingle_sets(group["text"].combine_chunks(), width)
+    flat, counts = group_sets(group["text"], width)
     starts = np.cumsum(counts) - counts
     words, at = np.unique(flat, return_inverse=True)  # shingles as numbers from 0, for this group
+    del flat
     sets = np.split(at, starts[1:])
     bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), 2 * m)
     label, mark = np.unique(group["part"].to_numpy(), return_inverse=True)[1], np.zeros(len(words), bool)
@@ -236,7 +246,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     m = bands_for(num, den, recall=recall)
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     signed = save(_signatures(texts, width, m), "signatures")
-    classes = save(signed.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("c")), "classes")
+    classes = save(signed.groupBy("s1", "s2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), "classes")
     nodes = classes.select("node", "bands")
     united = save(connected_components(_candidates(_tables(nodes, m))), "clusters")
     sizes = united.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
@@ -247,7 +257,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         clusters = clusters.where(F.col("size") <= block).drop("size").unionByName(rest)
         sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
         clusters = clusters.join(sizes, "component")
-    cut = clusters.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    shingles = clusters.join(classes.select("node", "n"), "node").groupBy("component").agg(F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.least("size", F.greatest(F.col("size") / block, F.col("shingles") / BLOCK_SHINGLES))).cast("int")
+    cut = clusters.join(shingles, "component").withColumn("blocks", blocks).drop("shingles").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     whole = cut.join(nodes, "node").join(texts, F.col("node") == F.col("doc")).drop("doc")
     sent = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sent = sent.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "part", "bands", "text")

@@ -232,6 +232,29 @@ def test_embeddings_small_tables_go_through_passes(spark, monkeypatch, n):
     assert near.sum() > n + n // 3 and sum(got[i] != want[i] for i in want) <= 0.004 * n
 
 
+def test_near_dedup_shingles_groups_step_by_step(monkeypatch):
+    texts, most, made = [prose(400) for _ in range(40)], [], minhash.shingle_sets
+    flat, counts = made(pa.array(texts), 5)
+    monkeypatch.setattr(minhash, "shingle_sets", lambda t, width: most.append(sum(len((x or "").encode()) for x in t.to_pylist())) or made(t, width))
+    monkeypatch.setattr(minhash.text_slices, "__defaults__", (10_000,))
+    node = np.arange(len(texts))
+    bands = pa.array([[0] * 4] * len(texts), pa.list_(pa.int64()))
+    group = pa.table({"node": node, "own": node * 0, "i": node * 0, "j": node * 0, "part": node, "bands": bands, "text": pa.chunked_array([texts[:30], texts[30:]])})
+    a, _ = minhash._confirmed(group, 2, 5, 80, 100)
+    assert not len(a) and 1 < len(most) and max(most) <= 10_000
+    got = minhash.group_sets(pa.chunked_array([texts[:30], texts[30:], [None, ""]]), 5)
+    assert got[0].tolist() == flat.tolist() and got[1].tolist() == [*counts.tolist(), 0, 0]
+
+
+def test_near_dedup_cuts_blocks_by_length(spark, monkeypatch):
+    """Long texts make more blocks, at the same result."""
+    texts = [" ".join(f"w{k}" for k in range(200))] * 2 + [" ".join(f"w{k}" for k in range(i, 200 + i)) for i in range(1, 30)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, minhash.near_duplicates(table).collect()))
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 500)
+    assert sorted(map(tuple, minhash.near_duplicates(table).collect())) == want and {r[2] for r in want} == {0}
+
+
 def test_bits_needed_knows_both_ends():
     group, sign = np.repeat([0, 1], [3, 6]), np.arange(9) << 40
     assert embedding_dedup.bits_needed(group[:3], sign[:3], 4, True, True).tolist() == [0] * 3
