@@ -155,6 +155,21 @@ def test_search(spark):
             index.ids(bad)
 
 
+def test_full_join_hands_on_pairs_one_by_one(spark):
+    rng = random.Random(3)
+    a, b = ([(k, rng.choice([1, 1, 1, 2, None, n]), rng.choice([None, *map(float, range(9))])) for k in range(60)] for n in (3, 4))
+    engine = Engine(spark, prefix="full_")
+    engine.register("a", spark.createDataFrame(a, "k long, g int, v double").repartition(3))
+    engine.register("b", spark.createDataFrame(b, "k long, g int, v double").repartition(3))
+    pairs = [(x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1] and None not in (x[2], y[2]) and x[2] > y[2]]
+    want = pairs + [(x[0], None) for x in a if x[0] not in {p[0] for p in pairs}] + [(None, y[0]) for y in b if y[0] not in {p[1] for p in pairs}]
+    got = engine.sql("SELECT a.k AS x, b.k AS y FROM full_a a FULL JOIN full_b b ON a.g = b.g AND a.v > b.v")
+    order = lambda rows: sorted(map(str, map(tuple, rows)))
+    assert order(got.collect()) == order(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" in plan and not any("*(" in x for x in plan.splitlines() if "FullOuter" in x)  # compiled, it would hold all pairs of a key
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("A", "B", "x", 2), ("A", "B", "y", 9), ("A", "C", "x", 5), ("C", "D", "x", 4), ("B", "D", "x", 3)], "src string, dst string, type string, weight long")
     assert [(r.node, r.weight) for r in graph.neighbours(e, "A", floor=5).collect()] == [("B", 9), ("C", 5)]
