@@ -1,19 +1,23 @@
 """Directed, weighted, typed edges (src, dst, type, weight): upserts, neighbours, reachability, widest paths.
 
 Traversals are loops of joins on the frontier; their state is written to the shared
-folder every round, so lineage stays short and lost executors cost one round.
+folder every round, so lineage stays short and lost executors cost one round.  Arcs are
+dealt out once, and stay in place: what a round sends grows with what it changes.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
 
 IDENTITY = ["src", "dst", "type"]
+#: Arcs in one partition of those that stay in place, about.
+ARCS = 1 << 18
 
 
 def _save(df: DataFrame) -> DataFrame:
@@ -48,37 +52,46 @@ def neighbours(edges: DataFrame, node: str, direction: str = "out", floor: int |
     return found.select(F.col(there).alias("node"), "weight", "type").orderBy("node", "type")
 
 
-def _arcs(edges: DataFrame, directed: bool) -> DataFrame:
-    one = edges.select("src", "dst", "weight")
-    return one if directed else one.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+def _arcs(edges: DataFrame, directed: bool) -> tuple[DataFrame, int]:
+    """Arcs by src, dealt out and sorted on the executors' disks, and their partitions; what is lost is made again from saved edges.
+
+    To be released.  A frontier that is dealt out alike meets them where they are.
+    """
+    one = _save(edges)
+    rows = one.count()
+    if not directed:
+        one, rows = one.unionByName(one.toDF("dst", "src", *one.columns[2:])), 2 * rows
+    parts = max(edges.sparkSession.sparkContext.defaultParallelism, -(-rows // ARCS))
+    return one.repartition(parts, "src").sortWithinPartitions("src").persist(StorageLevel.DISK_ONLY), parts
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, floor: int | None = None, directed: bool = True) -> DataFrame:
     """(node): the seeds, known or not, and all that edges of weight >= floor lead to."""
-    arcs = _arcs(edges, directed)
-    arcs = (arcs if floor is None else arcs.where(F.col("weight") >= floor)).select("src", "dst").distinct()
+    arcs, parts = _arcs((edges if floor is None else edges.where(F.col("weight") >= floor)).select("src", "dst"), directed)
     seen = frontier = _save(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct())
     while True:
-        new = arcs.join(frontier, F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
+        new = arcs.join(frontier.repartition(parts, "node"), F.col("src") == F.col("node"), "left_semi").select(F.col("dst").alias("node")).distinct()
         frontier = _save(new.join(seen, "node", "left_anti"))
         if not frontier.limit(1).count():
+            arcs.unpersist()
             return seen
         seen = seen.unionByName(frontier)
 
 
 def widest(edges: DataFrame, source: str, directed: bool = True) -> DataFrame:
     """(node, bottleneck) of all nodes that source reaches: the largest least weight of a path; null for source itself."""
-    arcs = _arcs(edges, directed).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    spark = edges.sparkSession
-    best = frontier = _save(spark.range(1).select(F.lit(source).alias("node"), F.lit(None).cast("long").alias("w")))
+    arcs, parts = _arcs(edges.select("src", "dst", "weight"), directed)
+    top = F.lit(float("inf") if arcs.schema["weight"].dataType.typeName() in ("float", "double") else 2**63 - 1)
+    best = _save(edges.sparkSession.range(1).select(F.lit(source).alias("node"), top.alias("w"), F.lit(True).alias("new")))
     while True:
+        frontier = best.where("new").select("node", "w").repartition(parts, "node")
         step = arcs.join(frontier, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), F.least("weight", "w").alias("w")).where(F.col("node") != source)
-        step = step.groupBy("node").agg(F.max("w").alias("w"))
-        old = best.select("node", F.col("w").alias("known"))
-        frontier = _save(step.join(old, "node", "left").where("known is null or w > known").select("node", "w"))
-        if not frontier.limit(1).count():
-            return best.select("node", F.col("w").alias("bottleneck"))
-        best = _save(best.join(frontier.select("node"), "node", "left_anti").unionByName(frontier))
+        both = step.unionByName(best.select("node", F.col("w").alias("known")), allowMissingColumns=True)
+        both = both.groupBy("node").agg(F.max("w").alias("w"), F.max("known").alias("known"))
+        best = _save(both.select("node", F.greatest("w", "known").alias("w"), F.expr("w is not null and (known is null or w > known)").alias("new")))
+        if not best.where("new").limit(1).count():
+            arcs.unpersist()
+            return best.select("node", F.when(F.col("w") < top, F.col("w")).alias("bottleneck"))
 
 
 def widest_path(edges: DataFrame, source: str, target: str, directed: bool = True) -> tuple[bool, int | None]:

@@ -199,6 +199,39 @@ def test_widest_over_all_edges(spark, tmp_path):
     assert {r.node: r.bottleneck for r in shapes.g_widest_all(spark, str(tmp_path)).collect()} == want
 
 
+def test_traversals_leave_their_arcs_in_place(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"n{i}", f"n{i + 1}", "x", rng.randint(5, 90)) for i in range(12)] + [(f"n{rng.randint(0, 12)}", f"m{i % 300}", "x", rng.randint(1, 90)) for i in range(900)]
+    edges = spark.createDataFrame(rows, "src string, dst string, type string, weight long")
+    scans = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(w):
+        scans.add(1)
+        return w
+
+    counted = counted.asNondeterministic()
+    best = {"n0": 10**9}
+    for _ in range(13):
+        for a, b, _, w in rows:
+            if a in best:
+                best[b] = max(best.get(b, 0), min(best[a], w))
+    seen = edges.withColumn("weight", counted("weight"))
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            assert {r.node: r.bottleneck for r in graph.widest(seen, "n0").collect()} == {k: None if k == "n0" else w for k, w in best.items()}
+            assert {r.node for r in graph.reachable(seen, spark.createDataFrame([("n0",)], "node string"), 1).collect()} == set(best)
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert scans.value <= 2 * 2 * 2 * len(rows)  # each traversal makes the edges once, whatever its rounds (a filter may be worked out twice)
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    arcs, parts = graph._arcs(edges.select("src", "dst"), False)
+    met = arcs.join(spark.createDataFrame([("n0",)], "node string").hint("merge").repartition(parts, "node"), F.col("src") == F.col("node"))
+    assert met.count() == sum("n0" in r[:2] for r in rows)
+    arcs.unpersist()
+
+
 def test_row_number_of_all_orders(spark, tmp_path):
     from tessera.plans import shapes
 
