@@ -1,9 +1,10 @@
 """Double-entry ledger: accounts, transfers in two phases, linked chains, limits; balances as a table.
 
-A ledger is a serial state machine: what a transfer does depends on all before it.  So
-each ledger is one ordered pass in plain integers (amounts are up to 2**128 - 1), and
-ledgers run in parallel as groups of a frame.  The projection and the sums over it are
-ordinary frames.
+A ledger is a serial state machine: an ordered pass in plain integers (amounts are up to
+2**128 - 1).  What a transfer does depends on few of those before it, though: on those of
+its id and of its pending transfer, of its chain, and of accounts whose balances matter.
+So ledgers are cut into passes of bounded size where nothing else is shared, and one pass
+a ledger is left for the rest.  The projection and the sums over it are ordinary frames.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 U128 = 2**128 - 1
 #: Flags of accounts and transfers (fixed values of the record format).
 LINKED, DEBITS_LIMITED, CREDITS_LIMITED, HISTORY, IMPORTED, CLOSED = 1, 2, 4, 8, 16, 32
 PENDING, POST, VOID, BALANCING_DEBIT, BALANCING_CREDIT = 2, 4, 8, 16, 32
+#: Transfers of one pass, about, where a ledger can be cut.
+PASS = 20_000
+#: Accounts whose amounts sum up to less can't overflow, whatever a sum of doubles rounds.
+SAFE = 2.0**127
 
 
 @dataclass
@@ -213,22 +218,72 @@ class Ledger:
                 self.resolved[p.id] = "expire"
 
 
+def _plain(*names: str):
+    """Whether texts are digits and nothing else, so that without their leading zeros they are equal as the numbers are."""
+    plain = F.lit(True)
+    for n in names:
+        plain = plain & F.coalesce(F.col(n).rlike("^[0-9]+$"), F.lit(False))
+    return plain
+
+
+def _bound(t: DataFrame) -> DataFrame:
+    """(ledger, _cell) of transfers that depend on more than their cell: cells that share an id, chains, accounts whose balances matter, odd texts."""
+    balancing = F.col("flags").bitwiseAND(BALANCING_DEBIT | BALANCING_CREDIT) != 0
+    moves = F.when(F.col("flags").bitwiseAND(POST | VOID) == 0, F.expr("try_cast(amount as double)"))
+    # accounts
+    number = lambda c: F.regexp_replace(c, "^0+(?=.)", "")
+    sides = t.select("ledger", "_cell", balancing.alias("b"), moves.alias("a"), F.explode(F.array(number("debit"), number("credit"))).alias("account")).where("account <> '0'")
+    tight = sides.groupBy("ledger", "account").agg(F.bool_or("b").alias("b"), F.sum("a").alias("a")).where(F.col("b") | (F.col("a") >= SAFE)).select("ledger", "account")
+    found = sides.join(tight, ["ledger", "account"], "left_semi").select("ledger", "_cell")
+    # chains: linked transfers and those right after them
+    before = F.lag("flags", 1, 0).over(Window.partitionBy("ledger").orderBy("seq", "id"))
+    linked = t.where(F.col("flags").bitwiseAND(LINKED) != 0).select("ledger").distinct()
+    chains = t.join(linked, "ledger", "left_semi").withColumn("_before", before)
+    found = found.unionByName(chains.where(F.col("flags").bitwiseOR(F.col("_before")).bitwiseAND(LINKED) != 0).select("ledger", "_cell"))
+    # ids that more than one cell names
+    named = t.select("ledger", "_cell", F.explode(F.array("_id", "_pending")).alias("x")).where("x <> '0'")
+    shared = named.groupBy("ledger", "x").agg(F.min("_cell").alias("lo"), F.max("_cell").alias("hi")).where("lo <> hi").select("ledger", "x")
+    found = found.unionByName(named.join(shared, ["ledger", "x"], "left_semi").select("ledger", "_cell"))
+    odd = t.where(~_plain("id", "pending_id", "debit", "credit", "amount")).select("ledger").distinct()
+    return found.unionByName(t.join(odd, "ledger", "left_semi").select("ledger", "_cell")).distinct()
+
+
+def _passes(transfers: DataFrame) -> DataFrame:
+    """transfers with _pass and _of, which name their pass: numbers of passes that ledgers share, or -1 and the ledger."""
+    texts = _plain("id", "pending_id", "debit", "credit", "amount")
+    simple = texts & (F.col("flags").bitwiseAND(LINKED | POST | VOID | BALANCING_DEBIT | BALANCING_CREDIT) == 0) & ~F.coalesce(F.col("pending_id").rlike("[^0]"), F.lit(True))
+    seen = transfers.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.coalesce(simple, F.lit(False))).alias("simple"), F.sum(F.expr("try_cast(amount as double)")).alias("a")).first()
+    number = lambda c: F.coalesce(F.regexp_replace(c, "^0+(?=.)", ""), F.lit(""))
+    t = transfers.withColumns({"_id": number("id"), "_pending": number("pending_id")})
+    resolving = (F.col("flags").bitwiseAND(POST | VOID) != 0) & (F.col("_pending") != "0")
+    t = t.withColumn("_cell", F.when(resolving, F.col("_pending")).otherwise(F.col("_id")))
+    free = F.pmod(F.xxhash64("ledger", "_cell"), F.lit(max(1, -(-seen["n"] // PASS))).cast("long"))
+    if not seen["n"] or seen["simple"] and seen["a"] < SAFE:
+        t = t.withColumns({"_pass": free, "_of": F.lit(0).cast("long")})
+    else:
+        t = t.join(_bound(t).withColumn("_bound", F.lit(True)), ["ledger", "_cell"], "left")
+        t = t.withColumns({"_pass": F.when(F.col("_bound"), F.lit(-1).cast("long")).otherwise(free), "_of": F.when(F.col("_bound"), F.col("ledger")).otherwise(F.lit(0).cast("long"))})
+    return t.select(*transfers.columns, "_pass", "_of")
+
+
 def run(transfers: DataFrame) -> DataFrame:
     """transfers (ledger, seq, id, debit, credit, amount, code, flags, pending_id; ids and amounts as text) -> (ledger, seq, id, result).
 
-    Accounts are those the transfers name.  One group a ledger, in the order of seq.
+    Accounts are those the transfers name, without flags.  In the order of seq, then id.
     """
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq")
+    def one(number: int, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["seq", "id"])
         book = Ledger()
-        number = int(rows["ledger"].iloc[0])
         for n in pd.unique(pd.concat([rows["debit"], rows["credit"]])):
             book.create_accounts([Account(int(n), number, 1)])
         batch = [Transfer(int(r.id), int(r.debit), int(r.credit), int(r.amount), number, int(r.code), int(r.flags), int(r.pending_id)) for r in rows.itertuples()]
         return pd.DataFrame({"ledger": rows["ledger"], "seq": rows["seq"], "id": rows["id"], "result": book.create_transfers(batch)})
 
-    return transfers.groupBy("ledger").applyInPandas(one, "ledger long, seq long, id string, result string")
+    def several(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([one(int(n), of) for n, of in rows.groupby("ledger", sort=False, dropna=False)])
+
+    return _passes(transfers).groupBy("_pass", "_of").applyInPandas(several, "ledger long, seq long, id string, result string")
 
 
 def balances(transfers: DataFrame, results: DataFrame | None = None) -> DataFrame:

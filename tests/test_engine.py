@@ -276,6 +276,58 @@ def test_ledger():
     assert all(a.debits_pending == a.credits_pending == 0 for a in book.accounts.values())
 
 
+
+TRANSFERS = "ledger long, seq long, id string, debit string, credit string, amount string, code long, flags long, pending_id string"
+
+
+def test_ledgers_are_cut_where_transfers_share_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "PASS", 7)
+    rng = random.Random(5)
+    rows = []
+    for book in range(1, 6):
+        ids = [str(rng.choice([k, k, k, max(1, k - 1), max(1, k - 9)])) for k in range(1, 121)]
+        for seq, i in enumerate(ids):
+            a, b = rng.sample(range(1, 9 if book == 1 else 60), 2)
+            kind = rng.choice([0, 0, ledger.PENDING, ledger.PENDING, ledger.POST, ledger.POST, ledger.VOID])
+            kind |= rng.choice([0] * 12 + [ledger.BALANCING_DEBIT, ledger.BALANCING_CREDIT, ledger.LINKED] if book < 4 else [0])
+            resolves = kind & (ledger.POST | ledger.VOID)
+            amount = rng.choice([1, 5, 30, ledger.U128 if resolves or book == 3 and not seq % 9 else 7])
+            if resolves:
+                a, b, amount = 0, 0, rng.choice([0, 1, amount])
+            odd = "0" if rng.random() < 0.2 else ""
+            rows.append((book, seq, odd + i, odd + str(a), str(b), str(amount), rng.choice([1] * 9 + [0]), kind, odd + str(rng.randint(max(1, seq - 9), seq + 1)) if resolves else "0"))
+    rows += [(3, 200 + k, str(500 + k), "70", str(71 + k), str(ledger.U128), 1, 0, "0") for k in range(3)]
+    rows += [(6, k, f" {k % 5 + 1}", "1", "2", "3", 1, 0, "0") for k in range(20)]
+    rows += [(7, k, str(k // 40 + k), "1", "2", "3", 1, 0, "0") for k in range(200)]
+    want = {}
+    for n in range(1, 8):
+        book, of = ledger.Ledger(), sorted((r for r in rows if r[0] == n), key=lambda r: (r[1], r[2]))
+        for x in {int(x) for r in of for x in r[3:5]}:
+            book.create_accounts([ledger.Account(x, n, 1)])
+        codes = book.create_transfers([ledger.Transfer(int(r[2]), int(r[3]), int(r[4]), int(r[5]), n, r[6], r[7], int(r[8])) for r in of])
+        want |= {(n, r[1], r[2]): code for r, code in zip(of, codes, strict=True)}
+    assert {"ok", "exists", "linked_event_failed", "overflows_debits", "pending_transfer_already_posted", "pending_transfer_not_found", "pending_transfer_not_pending"} <= set(want.values())
+    rng.shuffle(rows)
+    for some in (rows, [r for r in rows if r[0] == 7]):
+        t = spark.createDataFrame(some, TRANSFERS).repartition(3)
+        got = [((r.ledger, r.seq, r.id), r.result) for r in ledger.run(t).collect()]
+        assert len(got) == len(some) and dict(got) == {k: v for k, v in want.items() if k[0] in {r[0] for r in some}}
+        sizes = {(r._pass, r._of): r["count"] for r in ledger._passes(t).groupBy("_pass", "_of").count().collect()}
+        assert len(sizes) > 20 and max(n for (p, _), n in sizes.items() if p >= 0) < 40
+        assert {of for p, of in sizes if p < 0} <= set(range(1, 7)) and (-1, 7) not in sizes
+    cut = ledger._passes(spark.createDataFrame(rows, TRANSFERS)).where("_pass >= 0").groupBy("ledger").count()
+    assert {r.ledger for r in cut.collect()} >= {2, 3, 4, 5, 7}
+
+
+def test_one_large_ledger_is_no_single_group(spark):
+    rows = [(1, k, str(k + 1), str(k % 90 + 2), "1", "5", 1, 0, "0") for k in range(45000)]
+    sizes = spark.createDataFrame(rows, TRANSFERS)
+    groups = [r.n for r in ledger.run(sizes).groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(groups) == 45000
+    plan = ledger.run(sizes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_pass" in plan and ledger._passes(sizes).select("_pass").distinct().count() == 3
+
+
 def test_transactions_and_collections_with_writes(spark, tmp_path):
     store = TableStore(spark, str(tmp_path))
     t = store.create("t", {"id": "INTEGER", "v": "INTEGER"}, ["id"])
